@@ -72,3 +72,24 @@ def words(text: Column) -> Column:
     """Words of a text: runs without ASCII white space; null text has none."""
     parts = F.split(F.coalesce(text, F.lit("")), WS)
     return F.filter(parts, lambda w: w != "")
+
+
+def add_columns(docs: DataFrame, run, ddl: str, names: list[str]) -> DataFrame:
+    """docs with further columns made by an Arrow function of its batches.
+
+    ``run`` gets an iterator of batches and the place of the column ``text``,
+    and yields (batch, new arrays). Columns go by place, so that no name of
+    docs can clash; ddl has the new columns' types, in order.
+    """
+    import pyarrow as pa
+
+    held = [f"_c{i}" for i in range(len(docs.columns))]
+    made = [f"_n{i}" for i in range(len(names))]
+    at = docs.columns.index("text")
+
+    def go(batches):
+        for b, arrays in run(batches, at):
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*held, *made])
+
+    kinds = [f"{n} {t}" for n, (_, t) in zip(held, docs.dtypes, strict=True)] + [f"{n} {t}" for n, t in zip(made, ddl.split("; "), strict=True)]
+    return docs.toDF(*held).mapInArrow(go, ", ".join(kinds)).toDF(*docs.columns, *names)
