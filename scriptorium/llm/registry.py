@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, decontaminate, license_scan, minhash, quality, sharding, url_filter, warc
+from scriptorium.llm import bpe, decontaminate, html_extract, license_scan, lm_score, minhash, quality, sharding, url_filter, warc
 from scriptorium.llm._common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -33,6 +37,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), width=2)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_quality_rules, op5_warc, op6_minhash, op8_sharding, op9_license_scan, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_url_filter, op3_quality_rules, op4_html, op5_warc, op6_minhash, op7_lm_score, op8_sharding, op9_license_scan, op10_bpe)}
 
-ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op7_lm_score": lm_score.ORACLE_SQL}
