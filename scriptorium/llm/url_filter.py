@@ -42,25 +42,28 @@ DEFAULT_RULES = [
 class DigestArray:
     """Sorted 64-bit digests of strings with the full strings beside them."""
 
-    def __init__(self, folder: str | Path):
-        folder = Path(folder)
-        self.keys = np.load(folder / "keys.npy", mmap_mode="r")
-        self.ends = np.load(folder / "ends.npy", mmap_mode="r")
-        self.verdicts = np.load(folder / "verdicts.npy", mmap_mode="r")
-        self.blob = np.load(folder / "blob.npy", mmap_mode="r")
-        self.lengths = np.load(folder / "lengths.npy")
-
-    @staticmethod
-    def build(entries: list[tuple[str, str, str]], folder: str | Path) -> None:
-        """A later entry replaces an earlier one with the same host and path."""
-        folder = Path(folder)
+    PARTS = ("keys", "ends", "verdicts", "blob", "lengths")
+
+    def __init__(self, files: list[str]):
+        """files: those that build() returned, wherever they are now."""
+        self.keys, self.ends, self.verdicts, self.blob, self.lengths = (np.load(f, mmap_mode="r") for f in files)
+
+    @classmethod
+    def build(cls, entries: list[tuple[str, str, str]], folder: str | Path, name: str) -> list[Path]:
+        """Writes the array's files. A later entry replaces an earlier one with the same host and path."""
         held = {(host.lower() + path).encode(): (verdict == "allow", len(path)) for host, path, verdict in entries}
         rows = sorted((xxhash.xxh64_intdigest(s), s, allow) for s, (allow, _) in held.items())
-        np.save(folder / "keys.npy", np.array([r[0] for r in rows], dtype=np.uint64))
-        np.save(folder / "ends.npy", np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int64))
-        np.save(folder / "verdicts.npy", np.array([r[2] for r in rows], dtype=bool))
-        np.save(folder / "blob.npy", np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8))
-        np.save(folder / "lengths.npy", np.array(sorted({n for _, n in held.values()}), dtype=np.int64))
+        parts = [
+            np.array([r[0] for r in rows], dtype=np.uint64),
+            np.cumsum([0, *(len(r[1]) for r in rows)], dtype=np.int64),
+            np.array([r[2] for r in rows], dtype=bool),
+            np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8),
+            np.array(sorted({n for _, n in held.values()}), dtype=np.int64),
+        ]
+        files = [Path(folder) / f"{name}-{p}.npy" for p in cls.PARTS]
+        for file, part in zip(files, parts, strict=True):
+            np.save(file, part)
+        return files
 
     def stored(self, k: int) -> bytes:
         return self.blob[self.ends[k] : self.ends[k + 1]].tobytes()
@@ -70,7 +73,7 @@ class DigestArray:
         asked = np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), dtype=np.uint64, count=len(strings))
         at = np.searchsorted(self.keys, asked)
         found = np.full(len(strings), -1, dtype=np.int64)
-        for i in np.nonzero(self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == asked)[0] if len(self.keys) else ():
+        for i in np.nonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == asked)[0] if len(self.keys) else ():
             k = int(at[i])
             while k < len(self.keys) and self.keys[k] == asked[i]:
                 if self.stored(k) == strings[i]:
@@ -94,13 +97,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, def
     ship(spark)
     arrow_batches(spark, 10_000)
     name = f"urls-{uuid.uuid4().hex}"
-    folder = Path(tempfile.mkdtemp(prefix="scriptorium-urls-")) / name
-    folder.mkdir()
-    DigestArray.build(DEFAULT_RULES if rules is None else rules, folder)
-    spark.sparkContext.addFile(str(folder), recursive=True)
+    files = DigestArray.build(DEFAULT_RULES if rules is None else rules, tempfile.mkdtemp(prefix="scriptorium-urls-"), name)
+    for f in files:
+        spark.sparkContext.addFile(str(f))
+    names = [f.name for f in files]
 
     def probe(batches):
-        index = DigestArray(SparkFiles.get(name))
+        index = DigestArray([SparkFiles.get(n) for n in names])
         for b in batches:
             flat: list[bytes] = []
             counts = []
