@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from scriptorium.plans import evidence, relations  # noqa: F401
+from scriptorium.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "composition_diff"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
