@@ -9,10 +9,11 @@ band key are candidates. Candidates are sifted by their packed signatures
 collisions) and confirmed on the full sets of their texts.
 
 Only connectivity matters, so a bucket's members aren't all compared with each
-other: in a first round each class is compared with one, in a second with
-the centre of each bucket it shares with another component, and in a third
-all pairs of a bucket whose components are still different. Pairs already
-joined are never looked at again, and no pair of a bucket is lost.
+other. First each class is compared with the centre of one of its buckets.
+Then clusters of classes that any buckets connect, as far as they still fall
+into several components, are compared within tasks, in blocks: members of all
+components but the largest with all others. No candidate pair between two
+components is left out, and only links come out, never the pairs.
 
 At the similarity of the threshold, 0.8, a pair escapes all bands with a
 probability of (1 - 0.8 ** ROWS) ** BANDS, about 5e-6; the sieve lets pass what
@@ -41,6 +42,8 @@ from scriptorium.llm.components import components
 
 ROWS, BANDS, BITS = 6, 40, 2
 SIZE = ROWS * BANDS
+#: What a block of a large cluster holds at most, about.
+BLOCK_NODES, BLOCK_BYTES = 2000, 16 << 20
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +79,23 @@ def signature(least: np.ndarray) -> bytes:
     return np.packbits(bits.astype(bool).ravel()).tobytes()
 
 
-def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Estimates from packed signatures, corrected for chance collisions of b-bit groups."""
-    x = np.frombuffer(b"".join(a), dtype=np.uint8) ^ np.frombuffer(b"".join(b), dtype=np.uint8)
-    groups = np.unpackbits(x).reshape(len(a), SIZE, BITS).any(axis=2)
-    agree = 1 - groups.sum(axis=1) / SIZE
+#: Unequal groups of BITS bits in a byte of two signatures' difference.
+_UNEQUAL = np.array([sum(bool(x >> at & (1 << BITS) - 1) for at in range(0, 8, BITS)) for x in range(256)], dtype=np.uint8)
+
+
+def _estimate(difference: np.ndarray) -> np.ndarray:
+    """Similarities from rows of differing bits, corrected for chance collisions of b-bit groups."""
+    agree = 1 - _UNEQUAL[difference].sum(axis=1, dtype=np.int64) / SIZE
     chance = 1 / (1 << BITS)
     return (agree - chance) / (1 - chance)
 
 
+def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Estimated similarities of pairs of packed signatures."""
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
+    return _estimate(x ^ y)
+
+
 def sieve_threshold(threshold: float) -> float:
     """Five standard deviations of the estimate below the threshold."""
     chance = 1 / (1 << BITS)
@@ -164,6 +175,63 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return right.join(left, ["u", "salt"]).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
+def _compare_clusters(placed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) that link what is still apart in clusters of candidates; placed has (node, root, cluster, sig, text).
+
+    A cluster goes to a task whole only if it is small. A larger one is dealt
+    into blocks, and a task compares two blocks, so none holds more than two.
+    Nothing is emitted but the links that join two roots.
+    """
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = placed.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "root", "sig", "text")
+    least = sieve_threshold(percent / 100)
+
+    def compare(group):
+        u, v = join_roots(group["node"].to_numpy(), group["root"].to_pylist(), group["sig"].to_pylist(), shingle_sets(group["text"].to_pylist(), width), least, percent)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("cluster", "p", "q").applyInArrow(compare, "u long, v long")
+
+
+def join_roots(nodes: np.ndarray, roots: list[int], sigs: list[bytes], sets: list[np.ndarray], least: float, percent: int) -> tuple[list[int], list[int]]:
+    """Links between members of different roots, as few as join all that can be joined.
+
+    Members of all roots but the largest are held against all others: by
+    packed signatures first, then by their sets through an index of shingles."""
+    index = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    group = np.array([index[r] for r in roots])
+    counts = np.bincount(group)
+    if len(counts) < 2:
+        return [], []
+    packed = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), -1)
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    shingles, firsts = np.unique(flat[order], return_index=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    ends = np.append(firsts[1:], len(flat))
+    u, v = [], []
+    for x in np.flatnonzero(group != int(counts.argmax())).tolist():
+        apart = np.flatnonzero(group != group[x])
+        if not len(apart):
+            break
+        close = apart[_estimate(packed[apart] ^ packed[x]) >= least]
+        if not len(close):
+            continue
+        at = np.searchsorted(shingles, sets[x])
+        spans = [owners[firsts[k] : ends[k]] for k in at.tolist()]
+        both = np.bincount(np.concatenate(spans), minlength=len(sets))[close]
+        for y in close[100 * both >= percent * (sizes[x] + sizes[close] - both)].tolist():
+            if group[y] != group[x]:
+                u.append(int(nodes[x]))
+                v.append(int(nodes[y]))
+                group[group == group[y]] = group[x]
+    return u, v
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: links have 100 * intersection >= percent * union."""
     rows = materialise(sketches(docs, width), "sketches")
@@ -189,16 +257,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         own = roots.select(F.col("node").alias(node), F.col("root").alias(root))
         return df.join(own, node, "left").withColumn(root, F.coalesce(root, node))
 
-    split = rooted(rooted(stars.distinct(), "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
-    links = links.union(confirmed(split))
-    roots = components(links)
-
-    placed = rooted(members.select("key", "node"), "node", "root")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    open_ = materialise(placed.join(mixed, "key"), "open")
-    x, y = (open_.select("key", F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("u", "ru"), ("v", "rv")))
-    rest = x.join(y, "key").where("ru <> rv AND u < v").select("u", "v").distinct()
-    more = confirmed(rest)
+    clusters = components(stars.distinct()).select("node", F.col("root").alias("cluster"))
+    placed = rooted(nodes.select("node", "sig"), "node", "root").join(clusters, "node").join(texts, "node")
+    more = materialise(_compare_clusters(placed, width, percent), "more-links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
