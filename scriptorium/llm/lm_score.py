@@ -123,38 +123,39 @@ def _frequent_pairs(docs: DataFrame, frequent: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> bytes:
-    words, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
-    steps = np.diff(doc, prepend=0).astype(np.uint32)
-    head = np.array([len(words), len(a), np.dtype(kind).itemsize], dtype=np.int64)
-    return head.tobytes() + words.tobytes() + zstandard.compress(at[: len(a)].astype(kind).tobytes() + at[len(a) :].astype(kind).tobytes() + steps.tobytes(), 1)
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n_words, n, item = np.frombuffer(blob[:24], dtype=np.int64).tolist()
-    words = np.frombuffer(blob[24 : 24 + 8 * n_words], dtype=np.uint64)
-    rest = zstandard.decompress(blob[24 + 8 * n_words :])
-    at = np.frombuffer(rest[: 2 * n * item], dtype=np.uint16 if item == 2 else np.uint32)
-    steps = np.frombuffer(rest[2 * n * item :], dtype=np.uint32)
-    return words[at[:n]], words[at[n:]], np.cumsum(steps)
+def _pack(a: np.ndarray, b: np.ndarray, doc: np.ndarray, unknown: np.ndarray) -> bytes:
+    """Pairs of codes with their documents. A code is a word's place among the
+    known words, which all tasks have, or KNOWN more than its place in ``unknown``."""
+    codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    kind = np.uint16 if len(codes) <= 1 << 16 else np.uint32
+    split = int(np.searchsorted(codes, KNOWN))
+    head = np.array([split, len(codes) - split, len(a), np.dtype(kind).itemsize], dtype=np.int64)
+    small = np.diff(codes[:split], prepend=0).astype(np.uint32).tobytes() + at[: len(a)].astype(kind).tobytes() + at[len(a) :].astype(kind).tobytes() + np.diff(doc, prepend=0).astype(np.uint32).tobytes()
+    return head.tobytes() + unknown[codes[split:] - KNOWN].tobytes() + zstandard.compress(small, 1)
+
+
+def _unpack(blob: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of first and second words, their places among the known words (or -1), documents."""
+    n_known, n_rest, n, item = np.frombuffer(blob[:32], dtype=np.int64).tolist()
+    rest = np.frombuffer(blob[32 : 32 + 8 * n_rest], dtype=np.uint64)
+    small = zstandard.decompress(blob[32 + 8 * n_rest :])
+    places = np.concatenate([np.cumsum(np.frombuffer(small[: 4 * n_known], dtype=np.uint32), dtype=np.int64), np.full(n_rest, -1)])
+    hashes = np.concatenate([words[places[:n_known]], rest])
+    at = np.frombuffer(small[4 * n_known : 4 * n_known + 2 * n * item], dtype=np.uint16 if item == 2 else np.uint32)
+    doc = np.cumsum(np.frombuffer(small[4 * n_known + 2 * n * item :], dtype=np.uint32), dtype=np.int64)
+    return hashes[at[:n]], hashes[at[n:]], places[at[:n]], places[at[n:]], doc
 
 
 class _Counts:
-    """Logarithms of the counts of known words."""
+    """Logarithms of the counts of known words, by place."""
 
     def __init__(self, words: np.ndarray, logs: np.ndarray, total: float):
-        self.words, self.logs, self.log_total = words, logs, math.log(total)
+        self.words, self.log_total = words, math.log(total)
+        self.logs = np.append(logs, 0.0)  # the last for what isn't known
 
-    def logs_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log count (0 where not known) and whether it is known."""
-        at = _find(self.words, words)
-        known = at >= 0
-        return np.where(known, self.logs[at], 0.0), known
 
-
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log of every row."""
+def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQUENT) -> DataFrame:
+    """doc_id, n_words, log_score, mean_log of every row; the result doesn't depend on how many words are known or frequent."""
     spark = docs.sparkSession
     ship(spark)
     arrow_batches(spark)
@@ -162,46 +163,52 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     table = materialise(unigrams(docs), "unigrams")
     total = table.agg(F.sum("n")).first()[0] or 0
-    top = sorted((r["word"] & (1 << 64) - 1, r["n"]) for r in table.orderBy(F.desc("n"), "word").limit(KNOWN).collect())
+    top = sorted((r["word"] & (1 << 64) - 1, r["n"]) for r in table.orderBy(F.desc("n"), "word").limit(known_words).collect())
     words = np.array([w for w, _ in top], dtype=np.uint64)
     counts = np.array([n for _, n in top], dtype=np.float64)
-    most = np.sort(np.argsort(-counts, kind="stable")[:FREQUENT])
+    most = np.sort(np.argsort(-counts, kind="stable")[:frequent_words])
     frequent = words[most]
     square = _frequent_pairs(docs, frequent)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_PAIRS))
     sc = spark.sparkContext
     known = sc.broadcast(_Counts(words, np.log(np.maximum(counts, 1)), max(total, 1)))
     logs = np.where(square >= LEAST_COUNT, np.log(np.maximum(square, 1)) - np.log(np.maximum(counts[most], 1))[:, None], (math.log(ALPHA) + np.log(np.maximum(counts[most], 1)) - math.log(max(total, 1)))[None, :])
-    local = sc.broadcast((frequent, logs))
+    ranks = np.full(len(words) + 1, -1, dtype=np.int64)
+    ranks[most] = np.arange(len(most))
+    local = sc.broadcast((ranks, logs))
 
     def explode(batches):
-        held, (frequent, logs) = known.value, local.value
+        held, (ranks, logs) = known.value, local.value
         for unit, ids, h, begins in _units(batches):
             n_docs = len(ids)
             doc = np.repeat(np.arange(n_docs), np.diff(begins))
             scores = np.zeros(n_docs)
             full = np.flatnonzero(np.diff(begins))
-            firsts = h[begins[:-1][full]]
-            log, there = held.logs_of(firsts)
-            scores[full] += log - held.log_total
-            asks = [(full[~there], firsts[~there], np.ones(int((~there).sum()), dtype=np.int32))]
-            a, b, d = h[:-1], h[1:], doc[:-1]
+            place = _find(held.words, h)
+            at_first = begins[:-1][full]
+            scores[full] += held.logs[place[at_first]] - held.log_total
+            asked = place[at_first] < 0
+            asks = (full[asked], h[at_first[asked]])
+            unknown, code = np.unique(h[place < 0], return_inverse=True)
+            codes = place.copy()
+            codes[place < 0] = KNOWN + code
+            d = doc[:-1]
             same = doc[:-1] == doc[1:]
-            at = _find(frequent, h)
+            at = np.where(place >= 0, ranks[place], -1)
             near = same & (at[:-1] >= 0) & (at[1:] >= 0)
             if near.any():
                 scores += np.bincount(d[near], weights=logs[at[:-1][near], at[1:][near]], minlength=n_docs)
             far = np.flatnonzero(same & ~near)
-            a, b, d = a[far], b[far], d[far]
-            pid = ((_pair_keys(a, b) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            a, b, d = codes[far], codes[far + 1], d[far]
+            pid = ((_pair_keys(h[far], h[far + 1]) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(pid, kind="stable")
             cuts = np.searchsorted(pid[order], np.arange(parts + 1))
-            base = {"pid": -1 - unit % parts, "unit": unit, "docs": [{"doc_id": i, "n": int(n), "score": float(s)} for i, n, s in zip(ids, np.diff(begins), scores, strict=True)], "blob": _pack_asks(asks)}
+            base = {"pid": -1 - unit % parts, "unit": unit, "docs": [{"doc_id": i, "n": int(n), "score": float(s)} for i, n, s in zip(ids, np.diff(begins), scores, strict=True)], "blob": _pack_asks(*asks)}
             yield pa.RecordBatch.from_pylist([base], schema)
             for p in range(parts):
                 if cuts[p + 1] > cuts[p]:
                     o = order[cuts[p] : cuts[p + 1]]
-                    yield pa.RecordBatch.from_pylist([{"pid": p, "unit": unit, "docs": None, "blob": _pack(a[o], b[o], d[o])}], schema)
+                    yield pa.RecordBatch.from_pylist([{"pid": p, "unit": unit, "docs": None, "blob": _pack(a[o], b[o], d[o], unknown)}], schema)
 
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     docs_type = pa.list_(pa.struct([("doc_id", id_type), ("n", pa.int64()), ("score", pa.float64())]))
@@ -213,48 +220,53 @@ def score(docs: DataFrame) -> DataFrame:
         if group["pid"][0].as_py() < 0:
             rows = []
             for r in group.to_pylist():
-                doc, word, sign = _unpack_asks(r["blob"])
-                rows.append({"unit": r["unit"], "docs": r["docs"], "doc": None, "score": None, "ask_doc": doc, "ask_word": word.view(np.int64), "ask_sign": sign})
+                doc, word = _unpack_asks(r["blob"])
+                rows.append({"unit": r["unit"], "docs": r["docs"], "doc": None, "score": None, "ask_doc": doc, "ask_word": word.view(np.int64), "ask_sign": np.ones(len(doc), dtype=np.int32)})
             return pa.Table.from_pylist(rows, out_schema)
-        parts_of = [_unpack(x) for x in group["blob"].to_pylist()]
-        a, b = (np.concatenate([x[k] for x in parts_of]) for k in (0, 1))
+        parts_of = [_unpack(x, held.words) for x in group["blob"].to_pylist()]
+        a, b, at_a, at_b = (np.concatenate([x[k] for x in parts_of]) for k in range(4))
         _, at, n = np.unique(_pair_keys(a, b), return_inverse=True, return_counts=True)
         n = n[at]
         seen = n >= LEAST_COUNT
-        words = np.where(seen, a, b)
-        log, there = held.logs_of(words)
+        words, place = np.where(seen, a, b), np.where(seen, at_a, at_b)
+        log = held.logs[place]
         gain = np.where(seen, np.log(n) - log, math.log(ALPHA) + log - held.log_total)
         rows, first = [], 0
-        for unit, (x, _, d) in zip(group["unit"].to_pylist(), parts_of, strict=True):
-            own = slice(first, first + len(x))
-            first += len(x)
+        for unit, x in zip(group["unit"].to_pylist(), parts_of, strict=True):
+            d = x[4]
+            own = slice(first, first + len(d))
+            first += len(d)
             cut = np.flatnonzero(np.diff(d, prepend=-1))
-            miss = ~there[own]
+            miss = place[own] < 0
             rows.append({"unit": unit, "docs": None, "doc": d[cut], "score": np.add.reduceat(gain[own], cut), "ask_doc": d[miss], "ask_word": words[own][miss].view(np.int64), "ask_sign": np.where(seen[own][miss], -1, 1)})
         return pa.Table.from_arrays([pa.array([r[c] for r in rows], out_schema.field(c).type) for c in out_schema.names], schema=out_schema)
 
+    def total_up(group):
+        """The documents of a unit with all that was summed for them."""
+        docs_of = next(x for x in group["docs"].to_pylist() if x is not None)
+        sums = np.array([x["score"] for x in docs_of])
+        doc, part = group["doc"].combine_chunks().flatten().to_numpy(), group["score"].combine_chunks().flatten().to_numpy()
+        sums += np.bincount(doc, weights=part, minlength=len(sums))
+        return pa.Table.from_arrays([pa.array([x["doc_id"] for x in docs_of], id_type), pa.array([x["n"] for x in docs_of], pa.int64()), pa.array(sums)], names=["doc_id", "n_words", "s"])
+
     packed = docs.mapInArrow(explode, f"pid int, unit long, docs array<struct<doc_id:{kind},n:long,score:double>>, blob binary")
     made = materialise(packed.repartition(parts, "pid").groupBy("pid").applyInArrow(count, _OUT.format(id=kind)), "scores")
-    base = made.where("docs IS NOT NULL").select("unit", F.posexplode("docs").alias("doc", "d")).select("unit", "doc", "d.doc_id", "d.n", "d.score")
-    sums = made.where("doc IS NOT NULL").select("unit", F.explode(F.arrays_zip("doc", "score")).alias("x")).select("unit", "x.doc", "x.score")
     asks = made.select("unit", F.explode(F.arrays_zip("ask_doc", "ask_word", "ask_sign")).alias("x")).select("unit", F.col("x.ask_doc").alias("doc"), F.col("x.ask_word").alias("word"), F.col("x.ask_sign").alias("sign"))
-    answers = asks.join(table, "word").select("unit", "doc", (F.col("sign") * F.log("n")).alias("score"))
-    none = F.lit(None)
-    rows = base.select("unit", "doc", "doc_id", "n", "score").unionByName(sums.unionByName(answers).select("unit", "doc", none.cast(kind).alias("doc_id"), none.cast("long").alias("n"), "score"))
-    out = rows.groupBy("unit", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_words"), F.sum("score").alias("s"))
+    answers = asks.join(table, "word").groupBy("unit", "doc").agg(F.sum(F.col("sign") * F.log("n")).alias("score"))
+    answers = answers.select("unit", F.lit(None).cast(dict(made.dtypes)["docs"]).alias("docs"), F.array("doc").alias("doc"), F.array("score").alias("score"))
+    rows = made.select("unit", "docs", "doc", "score").unionByName(answers)
+    out = rows.groupBy("unit").applyInArrow(total_up, f"doc_id {kind}, n_words long, s double")
     full = F.col("n_words") > 0
     return out.select("doc_id", "n_words", F.when(full, F.round("s", 4)).alias("log_score"), F.when(full, F.round(F.col("s") / F.col("n_words"), 6)).alias("mean_log"))
 
 
-def _pack_asks(asks: list[tuple]) -> bytes:
-    doc, word, sign = (np.concatenate(x) for x in zip(*asks, strict=True))
-    return np.array([len(doc)], dtype=np.int64).tobytes() + doc.astype(np.int64).tobytes() + word.astype(np.uint64).tobytes() + sign.astype(np.int64).tobytes()
+def _pack_asks(doc: np.ndarray, word: np.ndarray) -> bytes:
+    return doc.astype(np.int64).tobytes() + word.astype(np.uint64).tobytes()
 
 
-def _unpack_asks(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob[:8], dtype=np.int64)[0])
-    doc, word, sign = np.frombuffer(blob[8:], dtype=np.uint64).reshape(3, n)
-    return doc.astype(np.int32), word, sign.view(np.int64).astype(np.int32)
+def _unpack_asks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    doc, word = np.frombuffer(blob, dtype=np.uint64).reshape(2, -1)
+    return doc.astype(np.int32), word
 
 
 ORACLE_SQL = r"""
