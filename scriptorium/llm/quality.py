@@ -166,7 +166,10 @@ def keep(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
     full = _with_repeats(_measure(packed, "_text"))
     failed = (F.col("_m.n_words") < 20) | (100 * F.col("_repeat") > 30 * F.col("_m.n_words"))
-    return full.where(~failed & (_log_odds(_votes("_m"), base, adds) >= 0)).select("_row.*")
+    # The filter mustn't be pushed below the features, where Catalyst would put
+    # their expressions in place of their names and compute them per element.
+    held = full.withColumn("_held", F.monotonically_increasing_id())
+    return held.where((F.col("_held") >= 0) & ~failed & (_log_odds(_votes("_m"), base, adds) >= 0)).select("_row.*")
 
 
 def _patterns(docs: DataFrame) -> list[tuple[tuple[int, ...], int]]:
