@@ -72,7 +72,7 @@ def verdict(r: Column, floor: bool = False) -> Column:
 def grams(text: Column, n: int = 3) -> Column:
     """The set of a text's n-grams; a shorter text is its own and only gram, the empty one included."""
     length = F.char_length(text)
-    inner = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    inner = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
     return F.when(length < n, F.array(text)).otherwise(inner)
 
 
