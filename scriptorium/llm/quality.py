@@ -1,15 +1,21 @@
 """Quality rules as weak supervision, by DataFrame functions alone.
 
-Each rule votes -1 (bad), 1 (good) or 0 (abstains). Counts of the vote
-patterns over all documents (at most 3 ** rules rows) feed an
-expectation-maximisation that estimates, for either class, how often each rule
-votes which way; a document's posterior of being good follows from its votes
-as a sum of log odds, and replaces an all-must-pass filter.
+Each rule votes -1 (bad), 1 (good) or abstains (0). Rules against a text only
+speak where they see junk, and rules for it only where they see prose, so that
+silence is no evidence. Counts of the vote patterns over all documents (at most 2
+** rules rows) feed an expectation-maximisation that estimates how often each
+rule is right where it speaks. A document's posterior probability of being good
+follows from its votes as a sum of log odds, and replaces an all-must-pass
+filter.
+
+Rules that tend to speak together would otherwise take the bad class for
+themselves; as each rule's accuracy is that over its own votes, one that speaks
+alone keeps its weight.
 
 Defined cases: a null or blank text has no words, so that the base rules fail
 it; repeated rows count and are judged each; an empty table gives an empty
-result. ``judge`` adds columns under reserved names to no input but the columns
-it is given: it reads ``doc_id`` and ``text`` and ignores others.
+result. ``judge`` reads ``doc_id`` and ``text`` and ignores other columns; ``keep``
+keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +31,11 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 ITERATIONS = 30
-#: The share of all documents that the prior of a rule's behaviour weighs.
-PRIOR_SHARE = 0.02
-RULES = ["symbols", "shouting", "exclaim", "stutter", "dup_lines", "word_length", "length"]
+#: What a rule's accuracy is thought to be before any document, and the share of its votes that this weighs.
+PRIOR_ACCURACY, PRIOR_SHARE = 0.95, 1.0
+AGAINST = ["symbols", "shouting", "exclaim", "stutter", "dup_lines", "word_length", "length"]
+FOR = ["prose", "sentences"]
+RULES = AGAINST + FOR
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -49,6 +57,7 @@ def _measure(df: DataFrame, text: str) -> DataFrame:
                 _count(body, SYMBOLS).alias("n_symbols"),
                 _count(body, UPPER).alias("upper"),
                 _count(body, "!").alias("exclaims"),
+                _count(body, ".?!").alias("stops"),
                 F.size("_l").cast("long").alias("lines"),
                 (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
                 F.expr("size(filter(_w, (x, i) -> i > 0 AND x = _w[i - 1]))").cast("long").alias("stutters"),
@@ -61,55 +70,53 @@ def _measure(df: DataFrame, text: str) -> DataFrame:
 def _votes(m: str) -> list[Column]:
     """The rules' votes, from the struct named m."""
     c = lambda k: F.col(f"{m}.{k}").cast("double")
-    n = F.greatest(c("n_words"), F.lit(1.0))
-
-    def share(x: Column, of: Column, bad: float, good: float) -> Column:
-        return F.when(x > bad * of, -1).when(x <= good * of, 1).otherwise(0)
-
-    mean = c("word_chars") / n
-    return [
-        share(c("n_symbols"), n, 0.2, 0.05),
-        share(c("upper"), F.greatest(c("word_chars"), F.lit(1.0)), 0.4, 0.15),
-        share(c("exclaims"), n, 0.3, 0.05),
-        share(c("stutters"), n, 0.2, 0.05),
-        share(c("n_dup_lines"), F.greatest(c("lines"), F.lit(1.0)), 0.5, 0.1),
-        F.when((mean < 2) | (mean > 20), -1).otherwise(0),
-        F.when(c("n_words") < 20, -1).when(c("n_words") >= 50, 1).otherwise(0),
+    n, chars = F.greatest(c("n_words"), F.lit(1.0)), F.greatest(c("word_chars"), F.lit(1.0))
+    against = [
+        c("n_symbols") > 0.2 * n,
+        c("upper") > 0.4 * chars,
+        c("exclaims") > 0.3 * n,
+        c("stutters") > 0.2 * n,
+        c("n_dup_lines") > 0.5 * F.greatest(c("lines"), F.lit(1.0)),
+        (chars / n < 2) | (chars / n > 20),
+        c("n_words") < 20,
     ]
+    speaks_for = [
+        (c("n_words") >= 50) & (c("n_symbols") <= 0.05 * n) & (c("upper") <= 0.15 * chars) & (c("stutters") <= 0.05 * n),
+        (c("stops") >= n / 60) & (c("stops") <= n / 3),
+    ]
+    return [F.when(x, -1).otherwise(0) for x in against] + [F.when(x, 1).otherwise(0) for x in speaks_for]
+
+
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
-    """Estimates from (votes, documents): log odds of good before any vote, and what each rule's vote -1 and 1 adds."""
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
+    """Estimates from (votes, documents): log odds of good before any vote, and what a vote of each rule adds."""
     total = sum(n for _, n in patterns)
-    rules = len(RULES)
     if not total:
-        return 0.0, [(0.0, 0.0)] * rules
-    weight = PRIOR_SHARE * total
-    good = [0.1 if min(v) < 0 else 0.9 for v, _ in patterns]
+        return 0.0, [0.0] * len(RULES)
+    good = [0.1 if min(v) < 0 else 0.95 for v, _ in patterns]
+    base, adds = 0.0, [0.0] * len(RULES)
     for _ in range(ITERATIONS):
         share = min(0.99, max(0.5, sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) / total))
-        against = []
-        for j in range(rules):
-            said = [0.02 * weight, 0.5 * weight]
-            spoke = [weight, weight]
-            for g, (v, n) in zip(good, patterns, strict=True):
-                if v[j]:
-                    spoke[0] += g * n
-                    spoke[1] += (1 - g) * n
-                    if v[j] < 0:
-                        said[0] += g * n
-                        said[1] += (1 - g) * n
-            against.append((said[0] / spoke[0], max(said[1] / spoke[1], said[0] / spoke[0])))
-        adds = [(math.log(p / q), math.log((1 - p) / (1 - q))) for p, q in against]
-        base = math.log(share / (1 - share))
-        good = [1 / (1 + math.exp(-max(-50.0, min(50.0, base + sum(adds[j][x > 0] for j, x in enumerate(v) if x))))) for v, _ in patterns]
+        base = _logit(share)
+        for j in range(len(RULES)):
+            bad_rule = j < len(AGAINST)
+            spoke = sum(n for v, n in patterns if v[j])
+            right = sum((1 - g if bad_rule else g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[j])
+            prior = PRIOR_ACCURACY if bad_rule else share
+            weight = PRIOR_SHARE * spoke + 1e-9
+            accuracy = min(0.999, max(0.001, (right + prior * weight) / (spoke + weight)))
+            adds[j] = -(_logit(accuracy) + base) if bad_rule else _logit(accuracy) - base
+        good = [1 / (1 + math.exp(-max(-50.0, min(50.0, base + sum(a for a, x in zip(adds, v, strict=True) if x))))) for v, _ in patterns]
     return base, adds
 
 
-def _log_odds(votes: list[Column], base: float, adds: list[tuple[float, float]]) -> Column:
+def _log_odds(votes: list[Column], base: float, adds: list[float]) -> Column:
     out = F.lit(base)
-    for v, (bad, good) in zip(votes, adds, strict=True):
-        out = out + F.when(v < 0, bad).when(v > 0, good).otherwise(0.0)
+    for v, add in zip(votes, adds, strict=True):
+        out = out + F.when(v != 0, add).otherwise(0.0)
     return out
 
 
