@@ -34,7 +34,7 @@ ITERATIONS = 30
 #: What a rule's accuracy is thought to be before any document, and the share of its votes that this weighs.
 PRIOR_ACCURACY, PRIOR_SHARE = 0.95, 1.0
 AGAINST = ["symbols", "shouting", "exclaim", "stutter", "dup_lines", "word_length", "length"]
-FOR = ["prose", "sentences"]
+FOR = ["prose", "closed"]
 RULES = AGAINST + FOR
 
 
@@ -57,7 +57,7 @@ def _measure(df: DataFrame, text: str) -> DataFrame:
                 _count(body, SYMBOLS).alias("n_symbols"),
                 _count(body, UPPER).alias("upper"),
                 _count(body, "!").alias("exclaims"),
-                _count(body, ".?!").alias("stops"),
+                F.coalesce(F.right(F.rtrim(body), F.lit(1)) == ".", F.lit(False)).alias("closed"),
                 F.size("_l").cast("long").alias("lines"),
                 (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
                 F.expr("size(filter(_w, (x, i) -> i > 0 AND x = _w[i - 1]))").cast("long").alias("stutters"),
@@ -82,7 +82,7 @@ def _votes(m: str) -> list[Column]:
     ]
     speaks_for = [
         (c("n_words") >= 50) & (c("n_symbols") <= 0.05 * n) & (c("upper") <= 0.15 * chars) & (c("stutters") <= 0.05 * n),
-        (c("stops") >= n / 60) & (c("stops") <= n / 3),
+        F.col(f"{m}.closed") & (c("n_symbols") <= 0.05 * n),
     ]
     return [F.when(x, -1).otherwise(0) for x in against] + [F.when(x, 1).otherwise(0) for x in speaks_for]
 
@@ -97,18 +97,18 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]
     if not total:
         return 0.0, [0.0] * len(RULES)
     good = [0.1 if min(v) < 0 else 0.95 for v, _ in patterns]
-    base, adds = 0.0, [0.0] * len(RULES)
+    # Silence is no evidence, so it can't be left to the votes how many texts are good.
+    base = _logit(min(0.99, max(0.5, sum(n for v, n in patterns if min(v) >= 0) / total)))
+    adds = [0.0] * len(RULES)
     for _ in range(ITERATIONS):
-        share = min(0.99, max(0.5, sum(g * n for g, (_, n) in zip(good, patterns, strict=True)) / total))
-        base = _logit(share)
         for j in range(len(RULES)):
             bad_rule = j < len(AGAINST)
             spoke = sum(n for v, n in patterns if v[j])
             right = sum((1 - g if bad_rule else g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[j])
-            prior = PRIOR_ACCURACY if bad_rule else share
             weight = PRIOR_SHARE * spoke + 1e-9
-            accuracy = min(0.999, max(0.001, (right + prior * weight) / (spoke + weight)))
-            adds[j] = -(_logit(accuracy) + base) if bad_rule else _logit(accuracy) - base
+            accuracy = min(0.999, max(0.001, (right + PRIOR_ACCURACY * weight) / (spoke + weight)))
+            # A rule may say nothing, but not the opposite of what it is for.
+            adds[j] = -max(0.0, _logit(accuracy) + base) if bad_rule else max(0.0, _logit(accuracy) - base)
         good = [1 / (1 + math.exp(-max(-50.0, min(50.0, base + sum(a for a, x in zip(adds, v, strict=True) if x))))) for v, _ in patterns]
     return base, adds
 
