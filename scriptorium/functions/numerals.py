@@ -48,7 +48,8 @@ def numeral(text: Column, financial: bool = False) -> Column:
 
 
 def _signs(financial: bool) -> str:
-    return "".join([*DIGITS, *TENS, HALF, *(FINANCIAL if financial else ()), *(FINANCIAL_TENS if financial else ())])
+    # The liang's own sign is a unit here, not the number two.
+    return "".join([*(d for d in DIGITS if d != "两"), *TENS, HALF, *(FINANCIAL if financial else ()), *(FINANCIAL_TENS if financial else ())])
 
 
 def _sum_of_units(text: Column, units: dict[str, float], financial: bool) -> Column:

@@ -105,7 +105,7 @@ def quote_segments(quote: Column) -> Column:
     return F.filter(F.transform(F.split(quote, r"(?:…+|\.{3,}|⋯+)"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def mask_gaps(text: Column, strict: str = "", loose: str = "") -> Column:
+def mask_gaps(text: Column, strict: str = "\ue000", loose: str = "\ue001") -> Column:
     """Signs of lost glyphs as strict wildcards and a lone space between Han as a loose one; the length stays."""
     out = F.regexp_replace(text, "[□■◯○�]", strict)
     return F.regexp_replace(out, f"(?<=[{HAN}{strict}]) (?=[{HAN}{strict}])", loose)

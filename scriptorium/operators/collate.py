@@ -22,7 +22,7 @@ from scriptorium.operators.joins import small
 GRAM, DIAGONAL, WINDOWS, LEAST_SLACK = 4, 16, 8, 8
 BACK, AHEAD = 64, 3000
 #: Signs that stand for a lost glyph, and for one that may be lost.
-STRICT, LOOSE = "", ""
+STRICT, LOOSE = "\ue000", "\ue001"
 
 _DROP = re.compile(rf"[^\w{STRICT}{LOOSE}]|_")
 
