@@ -193,7 +193,9 @@ def _compare_clusters(placed: DataFrame, width: int, percent: int) -> DataFrame:
         u, v = join_roots(group["node"].to_numpy(), group["root"].to_pylist(), group["sig"].to_pylist(), shingle_sets(group["text"].to_pylist(), width), least, percent)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.groupBy("cluster", "p", "q").applyInArrow(compare, "u long, v long")
+    # Else the join's partitioning by cluster would do for the groups, and all blocks of a cluster would meet.
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "cluster", "p", "q").groupBy("cluster", "p", "q").applyInArrow(compare, "u long, v long")
 
 
 def join_roots(nodes: np.ndarray, roots: list[int], sigs: list[bytes], sets: list[np.ndarray], least: float, percent: int) -> tuple[list[int], list[int]]:
