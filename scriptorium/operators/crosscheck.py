@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import verdict
 from scriptorium.operators.collate import Haystack, length_of, normalise
+from scriptorium.operators.lineage import cut
 
 # How strongly a passage names a bundle, from strong to weak.
 STRENGTHS = ["prescribed", "heading", "mentioned", "alias", "negated", "absent"]
@@ -159,7 +160,7 @@ def tree_paths(options: DataFrame, roots: DataFrame, depth: int = 20) -> DataFra
         step = walk.join(options, ["tree", "id"]).select("tree", F.concat("path", F.array("label")).alias("path"), "next", "result")
         ends = step.where("result IS NOT NULL").select("tree", "path", "result")
         done = ends if done is None else done.union(ends)
-        walk = step.where("next IS NOT NULL").select("tree", F.col("next").alias("id"), "path").checkpoint()
+        walk = cut(step.where("next IS NOT NULL").select("tree", F.col("next").alias("id"), "path"))
         if walk.isEmpty():
             break
     return done

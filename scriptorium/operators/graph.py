@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.joins import first_wins, keep_joined
+from scriptorium.operators.lineage import cut
 
 
 def union_nodes(parts: list[DataFrame]) -> DataFrame:
@@ -76,12 +77,12 @@ def find_nodes(nodes: DataFrame, query: str, limit: int) -> DataFrame:
 
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     """id, root of the components of links (a, b); root is the least id. For sets of names and the like."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    roots = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")).checkpoint()
+    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    roots = cut(both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
     for _ in range(rounds):
         least = both.join(roots.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("least"))
         hooked = roots.join(least, "id").select("id", F.least("root", "least").alias("root"))
-        jumped = hooked.join(hooked.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")).checkpoint()
+        jumped = cut(hooked.join(hooked.select(F.col("id").alias("root"), F.col("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")))
         changed = jumped.join(roots.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count()
         roots = jumped
         if not changed:

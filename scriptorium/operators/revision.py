@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.lineage import cut
+
 
 def apply_errata(text: str, errata: list[tuple[str, str]]) -> str:
     """text after all replacements in order; each must be found exactly once, overlaps counted."""
@@ -61,16 +63,16 @@ def tree_violations(options: DataFrame, roots: DataFrame, depth: int = 100) -> D
     seen, front = roots.select("tree", "id").distinct(), roots.select("tree", "id").distinct()
     count = nodes.count()
     for _ in range(min(depth, count)):
-        front = edges.join(front.withColumnRenamed("id", "src"), ["tree", "src"]).select("tree", F.col("dst").alias("id")).distinct().join(seen, ["tree", "id"], "left_anti").checkpoint()
+        front = cut(edges.join(front.withColumnRenamed("id", "src"), ["tree", "src"]).select("tree", F.col("dst").alias("id")).distinct().join(seen, ["tree", "id"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.union(front).checkpoint()
+        seen = cut(seen.union(front))
     unreached = nodes.join(seen, ["tree", "id"], "left_anti").select("tree", "id", F.lit("not reached").alias("rule"))
     # What is left after taking away nodes without successors, again and again, lies on or before a circle.
     left = edges
     while True:
         sources = left.select("tree", F.col("src").alias("dst")).distinct()
-        rest = left.join(sources, ["tree", "dst"], "left_semi").select("tree", "src", "dst").checkpoint()
+        rest = cut(left.join(sources, ["tree", "dst"], "left_semi").select("tree", "src", "dst"))
         if rest.count() == left.count():
             break
         left = rest
