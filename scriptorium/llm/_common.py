@@ -68,6 +68,14 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like name that isn't taken, in whatever case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of a text: runs without ASCII white space; null text has none."""
     parts = F.split(F.coalesce(text, F.lit("")), WS)

@@ -165,7 +165,8 @@ class Codec:
         return {r["w"]: pack(r["ids"]) for r in best.select("w").repartition(parts, "w").select("w", self.fold(F.col("w")).alias("ids")).collect()}
 
     def encode(self, docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
-        """docs with the columns n_tokens, ids (array of int) and packed (ids as little-endian unsigned 32-bit integers)."""
+        """docs with the columns n_tokens, ids (array of int) and packed (ids as little-endian unsigned 32-bit integers); own columns of these names are replaced."""
+        docs = docs.drop("n_tokens", "ids", "packed")
         ship(self.spark)
         arrow_batches(self.spark, 1000)
         ranks = self.spark.sparkContext.broadcast(self.ranks)

@@ -43,7 +43,7 @@ def docs(spark, rows):
 
 def clashing(df):
     """The same rows with names that operators use inside."""
-    for n in ("_w", "_m", "_h", "_row", "_text", "_c0", "_n0", "node", "cls", "rep", "kept", "n", "packed_", "_kept_id", "leaks_"):
+    for n in ("_w", "_m", "_h", "_row", "_text", "_c0", "_n0", "node", "cls", "rep", "kept", "n", "_kept_id", "leaks", "leaks0", "Component_ID"):
         df = df.withColumn(n, F.lit(f"own {n}"))
     return df
 
@@ -315,6 +315,7 @@ def test_bpe_equals_the_library(spark, encoding, hot):
     rows = [*ODD, (200, "x" * 5000), (201, "".join(chr(0x4E00 + i % 900) for i in range(3000))), (202, "  leading\u0085　 spaces ​  ")]
     codec = bpe.Codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     some = clashing(docs(spark, rows))
+    assert codec.encode(some.withColumn("ids", F.lit(1)).withColumn("packed", F.lit(2)), hot).columns == [*some.columns, "n_tokens", "ids", "packed"]
     out = codec.encode(some, hot).withColumn("raw", codec.decode(F.col("ids")))
     assert out.columns[: len(some.columns)] == some.columns
     for r in out.collect():
