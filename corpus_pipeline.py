@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, decoded again to see that nothing is lost."""
+    """Documents with their token ids, decoded again to see that nothing is lost; own columns of the new names are replaced."""
     codec = bpe.Codec(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     coded = codec.encode(docs)
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
