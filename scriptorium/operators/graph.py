@@ -47,11 +47,12 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame, seed: str, depth: int, mos
     """Nodes within depth (1 to 3) steps of the seed, nearest and then least ids first up to ``most``, and the edges among them."""
     depth = min(max(depth, 1), 3)
     allowed = nodes if kinds is None else nodes.where(F.col("kind").isin(kinds))
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).union(edges.select("dst", "src"))
+    both = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).union(edges.select("dst", "src")))
     front = nodes.where(F.col("id") == seed).select("id")
     seen = front.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
         front = both.join(front, "id", "left_semi").select(F.col("next").alias("id")).distinct().join(allowed.select("id"), "id", "left_semi").join(seen, "id", "left_anti")
+        front = cut(front)
         seen = seen.union(front.withColumn("hop", F.lit(hop)))
     kept = seen.orderBy("hop", "id").limit(most)
     ids = kept.select("id")
