@@ -314,12 +314,19 @@ SELECT a, b, array_to_string(list(why ORDER BY why), ',') AS why FROM r GROUP BY
 """,
 )
 def related_rows(spark, d):
-    """A disjunctive self join as a union of equality joins; the first twelve of each (a top-k report)."""
+    """A disjunctive self join; the first twelve of each row (a top-k report).
+
+    The twelve are among the thirteen first of the row's two groups, so only these are joined, and no group meets itself."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_size")
-    q = p.select(*[F.col(c).alias(f"_{c}") for c in p.columns])
-    parts = [p.join(q, (F.col(k) == F.col(f"_{k}")) & (F.col("p_size") == F.col("_p_size")) & (F.col("p_partkey") != F.col("_p_partkey"))).select(F.col("p_partkey").alias("a"), F.col("_p_partkey").alias("b"), F.lit(w).alias("why")) for k, w in (("p_brand", "brand"), ("p_name", "name"))]
-    both = parts[0].union(parts[1]).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("why")), ",").alias("why"))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where("rank <= 12").drop("rank")
+    found = None
+    for key in ("p_brand", "p_name"):
+        rank = F.row_number().over(Window.partitionBy(key, "p_size").orderBy("p_partkey"))
+        heads = p.withColumn("_rank", rank).where("_rank <= 13").select(F.col(key).alias("_key"), F.col("p_size").alias("_size"), F.col("p_partkey").alias("b"), F.col("p_brand").alias("_brand"), F.col("p_name").alias("_name"))
+        own = p.join(heads, (F.col(key) == F.col("_key")) & (F.col("p_size") == F.col("_size"))).where("p_partkey <> b")
+        why = F.concat_ws(",", F.when(F.col("p_brand") == F.col("_brand"), "brand"), F.when(F.col("p_name") == F.col("_name"), "name"))
+        pairs = own.select(F.col("p_partkey").alias("a"), "b", why.alias("why"))
+        found = pairs if found is None else found.union(pairs)
+    return found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where("rank <= 12").drop("rank")
 
 
 @query("same_name_twins", "SELECT p_name AS name, p_size AS size, count(*) AS n, min(p_partkey) AS first, count(DISTINCT p_brand) AS brands FROM part GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT p_brand) > 1")
