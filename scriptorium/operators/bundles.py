@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.numerals import COUNTS, DIGITS, FINANCIAL, HALF, LIANG, QIAN, SHENG, TENS
+from scriptorium.shipping import ship
 
 _NUMBER = rf"[{''.join([*DIGITS, *FINANCIAL, *TENS, HALF])}0-9.]+"
 _UNIT = "|".join(dict.fromkeys([*LIANG, *SHENG, *QIAN, *COUNTS]))
@@ -102,6 +103,7 @@ def parse_line(line: str, lexicon: frozenset[str] = frozenset()) -> list[dict]:
 
 def parse_items(df: DataFrame, key: str, line: str, lexicon: Iterable[str] = ()) -> DataFrame:
     """key, items of lines."""
+    ship(df.sparkSession)
     known = frozenset(lexicon)
 
     @F.pandas_udf(f"array<{ITEM}>")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import AGREE, EPSILON, MISSING, VARIANT
 from scriptorium.operators.joins import small
+from scriptorium.shipping import ship
 
 GRAM, DIAGONAL, WINDOWS, LEAST_SLACK = 4, 16, 8, 8
 BACK, AHEAD = 64, 3000
@@ -194,6 +195,7 @@ def collate(passages: DataFrame, witnesses: DataFrame) -> DataFrame:
     """source, witness, pos, verdict, ratio, start, end; passages have (source, pos, text), witnesses (source, witness, text).
 
     One task takes a source with a witness, as the cursor makes the pass sequential."""
+    ship(passages.sparkSession)
     both = passages.select("source", "pos", F.col("text").alias("passage")).join(witnesses.select("source", "witness"), "source")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -220,6 +222,7 @@ def locate_all(needles: DataFrame, hays: DataFrame, least: float = VARIANT, word
     """needle, hay, ratio, start, end of the needles (id, text) found in hays (id, text).
 
     Pairs are formed by common runs of words, through an inverted index of the needles, never all with all."""
+    ship(hays.sparkSession)
     index = small(_word_grams(needles, "needle", words))
     own = _word_grams(hays, "hay", words)
     pairs = own.join(index, "g").select("needle", "hay").distinct()

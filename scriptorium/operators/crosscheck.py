@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import verdict
 from scriptorium.operators.collate import Haystack, length_of, normalise
 from scriptorium.operators.lineage import cut
+from scriptorium.shipping import ship
 
 # How strongly a passage names a bundle, from strong to weak.
 STRENGTHS = ["prescribed", "heading", "mentioned", "alias", "negated", "absent"]
@@ -107,6 +108,7 @@ def verify_quotes(quotes: DataFrame, witnesses: DataFrame) -> DataFrame:
 
     All segments must be found, and the worst counts. The quotation's own witness is
     taken if it agrees, else the best; witnesses are a stated small set."""
+    ship(quotes.sparkSession)
     pairs = quotes.select("id", "own", "segments").join(F.broadcast(witnesses.select("witness", "text")))
 
     def run(batches):

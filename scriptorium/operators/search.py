@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.shipping import ship
+
 K1, B = 1.2, 0.75
 
 
@@ -49,6 +51,7 @@ def longest_matches(text: str, automaton) -> list[tuple[int, int, str]]:
 
 def annotate(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """id, mentions: array of (start, end, surface, term) of a controlled vocabulary (surface, term), a stated list."""
+    ship(docs.sparkSession)
     table = dict(terms)
 
     def run(batches):
