@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.shipping import ship
+
 #: Java pattern of the white space that separates words: space and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
+__all__ = ["WS", "add_columns", "arrow_batches", "fresh", "materialise", "shared_dir", "ship", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,20 +48,6 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="scriptorium-ship-")) / "scriptorium.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds Arrow batches, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
