@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -269,6 +270,23 @@ def test_shards_are_even_and_complete(spark, shards):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((i, len(raw(t)) + 1, zlib.crc32(raw(t))) for i, t in rows)
 
 
+def test_shards_hold_whole_rows_by_slot(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1000)
+    rows = [*ODD[:9], *((100 + i, f"text {i} " * (i % 9)) for i in range(101))]
+    some = clashing(docs(spark, rows)).withColumns({"Shard": F.lit("own shard"), "slot": F.col("n_chars") + 1, "place": F.lit(None).cast("binary")}).repartition(3)
+    out = sharding.write(some, f"file://{tmp_path}/shards", 3)
+    assert out.columns == [*some.columns, "shard_", "slot_"]
+    found = out.collect()
+    assert Counter(tuple(r)[:-2] for r in found) == Counter(tuple(r) for r in some.collect())
+    assert [r["slot_"] for r in sorted(found, key=lambda r: (r["shard_"], r["slot_"]))] == [i for n in (37, 37, 36) for i in range(n)]
+    slices = sorted(tmp_path.glob("shards/shard_=*/slice=*"), key=lambda p: (p.parent.name, int(p.name.split("=")[1])))
+    assert len(slices) > 3
+    for s in range(3):
+        files = [list(p.glob("*.parquet")) for p in slices if p.parent.name == f"shard_={s}"]
+        assert all(len(f) == 1 for f in files)
+        assert [i for (f,) in files for i in pq.ParquetFile(f).read(["slot_"])["slot_"].to_pylist()] == list(range(len([r for r in found if r["shard_"] == s])))
+
+
 def test_shards_of_nothing(spark):
     assert sharding.query(docs(spark, ODD).limit(0)).count() == 0
 
