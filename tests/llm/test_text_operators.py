@@ -207,6 +207,29 @@ def test_decontamination_finds_leaks_and_leaves_others(spark):
     assert decontaminate.leaks(some, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_that_pass_the_checks(spark):
+    rng = np.random.default_rng(6)
+    often = [f"often{i}" for i in range(120)]
+    items = [(i, " ".join(rng.choice(often, 30)) + ". " + " ".join(rng.choice(often, 10)) + ".") for i in range(20)]
+    rows = [(i, " ".join(rng.choice(often, 90))) for i in range(200)]
+    for i, (_, text) in enumerate(items * 5):
+        cut = text.split()
+        for k in rng.choice(len(cut), round((0.2 + 0.05 * (i // 20)) * len(cut)), replace=False):
+            cut[k] = f"rare{i}x{k}"
+        rows.append((1000 + i, " ".join([*(f"before{i}x{k}" for k in range(50)), *cut, *(f"after{i}x{k}" for k in range(50))])))
+    want = set()
+    for d, text in rows[200:]:
+        words = word_hashes([text])[0]
+        for k, item in items:
+            own, answer = word_hashes([item])[0], word_hashes([item.split(". ")[1]])[0]
+            ratio = decontaminate.lcs_length(decontaminate.word_places(own), len(own), words.tolist()) / len(own)
+            if ratio >= 0.75 or ratio >= 0.6 and len(set(answer.tolist()) & set(words.tolist())) >= 0.6 * len(set(answer.tolist())):
+                want.add((d, k))
+    assert len(want) > 60
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(spark, rows), bench).collect() if r["doc_id"] >= 1000} == want
+
+
 def test_longest_common_subsequence():
     def by_table(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
