@@ -13,7 +13,7 @@ from scriptorium.shipping import ship
 #: Java pattern of the white space that separates words: space and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WS", "add_columns", "arrow_batches", "fresh", "materialise", "shared_dir", "ship", "table", "words"]
+__all__ = ["WS", "add_columns", "arrow_batches", "fresh", "join_spread", "materialise", "shared_dir", "ship", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where the
-    session names none (tests on one machine) a temporary folder is taken.
+    The folder is the one named by ``spark.checkpoint.dir``, or the session's
+    checkpoint folder. Where neither is set a temporary folder is taken if all
+    runs on this machine; on a cluster that is an error, as each executor would
+    write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
             root = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -48,6 +52,26 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in so many of all rows, and more than so many rows.
+HOT_SHARE, HOT_ROWS = 1000, 2000
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, size: str, total: int, by: list[str], keep_size: bool = False) -> DataFrame:
+    """big joined with small, which has one row of a key and, in ``size``, how many rows of big have it (or more).
+
+    Rows of hot keys are dealt out by the columns ``by``, and small's row goes to
+    each part. There are ``HOT_SHARE`` hot keys at most, as sizes add up to
+    ``total``, so a table of them may be broadcast.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_SHARE))
+    parts = F.ceil(F.col(size) / least).cast("int")
+    hot = small.where(F.col(size) > least).select(key, parts.alias("_parts"))
+    salt = F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return dealt.join(copies if keep_size else copies.drop(size), [key, "_salt"]).drop("_salt")
+
+
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds Arrow batches, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

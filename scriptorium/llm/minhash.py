@@ -10,10 +10,14 @@ collisions) and confirmed on the full sets of their texts.
 
 Only connectivity matters, so a bucket's members aren't all compared with each
 other. First each class is compared with the centre of one of its buckets.
-Then clusters of classes that any buckets connect, as far as they still fall
-into several components, are compared within tasks, in blocks: members of all
-components but the largest with all others. No candidate pair between two
-components is left out, and only links come out, never the pairs.
+Then the buckets whose members still belong to several components are laid out
+in tiles: members of all components but the bucket's largest along one side, all
+members along the other. A tile first compares packed signatures, and a pair
+counts in the first bucket that it shares only; what comes out are the members
+that have a close one of another component in the tile. To these tiles the
+texts of such members go, and their full sets are compared. So no candidate pair
+between two components is left out, a task's rows and bytes are bounded by the
+tile, and pairs never leave it, but only links that join two components.
 
 At the similarity of the threshold, 0.8, a pair escapes all bands with a
 probability of (1 - 0.8 ** ROWS) ** BANDS, about 5e-6; the sieve lets pass what
@@ -24,7 +28,9 @@ linked with nothing; texts with fewer words than a shingle have their whole
 sequence as the one element; equal rows are one class; rows that repeat an id
 count as rows, each in its text's class; a null id is never the smallest, and a
 row without an id is never marked as kept; an empty table gives an empty
-result; other columns are ignored by ``link`` and kept by ``keep``.
+result; other columns are ignored by ``link`` and kept by ``keep``. ``keep`` leaves
+one of the rows that are marked as kept with the same id and text, and all rows
+without an id.
 """
 
 from __future__ import annotations
@@ -33,17 +39,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import arrow_batches, materialise, ship
+from scriptorium.llm._common import arrow_batches, join_spread, materialise, ship
 from scriptorium.llm._kernels import mix, shingle_sets
 from scriptorium.llm.components import components
 
 ROWS, BANDS, BITS = 6, 40, 2
 SIZE = ROWS * BANDS
-#: What a block of a large cluster holds at most, about.
-BLOCK_NODES, BLOCK_BYTES = 2000, 16 << 20
+#: Members along one side of a tile: from the least to the most, and texts' bytes, about.
+TILE_LEAST, TILE_MOST, TILE_BYTES = 128, 2000, 8 << 20
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
@@ -108,28 +114,31 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (key of the set), sig, bands of every row."""
+    """doc_id, at (hash of the text), bytes (of the text), n (size of the set), cls (key of the set), sig, bands, marks (short forms of the band keys, packed) of every row."""
     ship(docs.sparkSession)
     arrow_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            n, cls, sig, bands = [], [], [], []
+            n, cls, sig, bands, marks = [], [], [], [], []
             for s in shingle_sets(b["text"].to_pylist(), width):
                 n.append(len(s))
                 if len(s):
                     least = minima(s)
+                    keys = band_keys(least)
                     cls.append(_set_key(s))
                     sig.append(signature(least))
-                    bands.append(band_keys(least))
+                    bands.append(keys)
+                    marks.append(keys.astype(np.uint32).tobytes())
                 else:
-                    cls.append(None)
-                    sig.append(None)
-                    bands.append(None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "sig", "bands"])
+                    for x in (cls, sig, bands, marks):
+                        x.append(None)
+            made = [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["at"], b["bytes"], *made], ["doc_id", "at", "bytes", "n", "cls", "sig", "bands", "marks"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls binary, sig binary, bands array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, at long, bytes long, n long, cls binary, sig binary, bands array<long>, marks binary")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -175,58 +184,114 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return right.join(left, ["u", "salt"]).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _compare_clusters(placed: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v) that link what is still apart in clusters of candidates; placed has (node, root, cluster, sig, text).
-
-    A cluster goes to a task whole only if it is small. A larger one is dealt
-    into blocks, and a task compares two blocks, so none holds more than two.
-    Nothing is emitted but the links that join two roots.
-    """
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = placed.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "root", "sig", "text")
+def _tiles(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """key, p, q, side, band, node, root, sig, marks: the tiles of the buckets whose members have several roots.
+
+    members has (key, band, node), placed has (node, root, sig, marks, bytes)."""
+    held = materialise(members.join(placed, "node"), "placed")
+    own = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    whole = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.min("root").alias("a"), F.max("root").alias("b"))
+    side = F.greatest(F.lit(TILE_LEAST), F.least(F.lit(TILE_MOST), F.col("n") / 32))
+    heavy = F.ceil(F.col("bytes") / TILE_BYTES)
+    across = F.greatest(F.ceil(F.col("n") / side), heavy).cast("int")
+    down = F.greatest(F.ceil((F.col("n") - F.col("most")) / side), F.least(heavy, F.col("n") - F.col("most"))).cast("int")
+    buckets = materialise(whole.where("a <> b").select("key", "n", "top", across.alias("across"), down.alias("down")), "buckets")
+    dealt = join_spread(held, buckets, "key", "n", held.count(), ["node"])
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rest = ["band", "node", "root", "sig", "marks"]
+    # The side of those outside the largest component is 1, that of all members 2, or 3 for those inside it.
+    first = dealt.where("root <> top").select("key", place("down").alias("p"), F.explode(upto("across")).alias("q"), F.lit(1).alias("side"), *rest)
+    second = dealt.select("key", F.explode(upto("down")).alias("p"), place("across").alias("q"), F.when(F.col("root") == F.col("top"), 3).otherwise(2).alias("side"), *rest)
+    return first.unionByName(second)
+
+
+def _close(tiles: DataFrame, percent: int) -> DataFrame:
+    """key, p, q, side, node, root of the members of tiles that have a close one of another root there, by signature."""
     least = sieve_threshold(percent / 100)
 
     def compare(group):
-        u, v = join_roots(group["node"].to_numpy(), group["root"].to_pylist(), group["sig"].to_pylist(), shingle_sets(group["text"].to_pylist(), width), least, percent)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        side, node, root = (group[c].to_numpy() for c in ("side", "node", "root"))
+        sig, mark = (np.frombuffer(b"".join(group[c].to_pylist()), dtype=kind).reshape(group.num_rows, -1) for c, kind in (("sig", np.uint8), ("marks", np.uint32)))
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side != 1)
+        found = np.zeros(len(side), dtype=bool)
+        band = group["band"][0].as_py()
+        for x in left.tolist():
+            apart = right[(root[right] != root[x]) & ((side[right] == 3) | (node[right] > node[x]))]
+            near = apart[_estimate(sig[apart] ^ sig[x]) >= least] if len(apart) else apart
+            near = near[~(mark[near, :band] == mark[x, :band]).any(axis=1)] if len(near) else near
+            if len(near):
+                found[x] = True
+                found[near] = True
+        return group.select(["key", "p", "q", "side", "node", "root"]).filter(pa.array(found))
+
+    return _by_tile(tiles, compare, "key long, p int, q int, side int, node long, root long")
+
+
+def _by_tile(tiles: DataFrame, compare, kind: str) -> DataFrame:
+    """What compare, a function of a tile's table, gives for each tile. Most tiles are small, so a task runs through its tiles one after another."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def end():
+            whole = pa.Table.from_batches(held)
+            held.clear()
+            return compare(whole).combine_chunks().to_batches()
 
-    # Else the join's partitioning by cluster would do for the groups, and all blocks of a cluster would meet.
-    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "cluster", "p", "q").groupBy("cluster", "p", "q").applyInArrow(compare, "u long, v long")
+        last = None
+        for b in batches:
+            place = [b[c].to_numpy() for c in ("key", "p", "q")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in place], axis=0)) + 1
+            for first, past in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if first == past:
+                    continue
+                here = tuple(x[first].item() for x in place)
+                if held and here != last:
+                    yield from end()
+                held.append(b.slice(first, past - first))
+                last = here
+        if held:
+            yield from end()
+
+    # Else a join's partitioning by key would do, and all tiles of a bucket would meet.
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, kind)
+
+
+def _link_tiles(close: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) that join two roots each; close is what ``_close`` gives, texts has (node, text)."""
 
+    def compare(group):
+        u, v = join_roots(group["side"].to_numpy(), group["node"].to_numpy(), group["root"].to_numpy(), shingle_sets(group["text"].to_pylist(), width), percent)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-def join_roots(nodes: np.ndarray, roots: list[int], sigs: list[bytes], sets: list[np.ndarray], least: float, percent: int) -> tuple[list[int], list[int]]:
-    """Links between members of different roots, as few as join all that can be joined.
+    return _by_tile(close.join(texts, "node"), compare, "u long, v long")
 
-    Members of all roots but the largest are held against all others: by
-    packed signatures first, then by their sets through an index of shingles."""
-    index = {r: k for k, r in enumerate(dict.fromkeys(roots))}
-    group = np.array([index[r] for r in roots])
-    counts = np.bincount(group)
-    if len(counts) < 2:
+
+def join_roots(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links between members of side 1 and others of different roots, as few as join all that can be joined; sets are held against each other through an index of shingles."""
+    left, right = np.flatnonzero(side == 1), np.flatnonzero(side != 1)
+    if not len(left) or not len(right):
         return [], []
-    packed = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(sigs), -1)
+    _, group = np.unique(roots, return_inverse=True)
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
+    flat = np.concatenate([sets[k] for k in right.tolist()])
     order = np.argsort(flat, kind="stable")
     shingles, firsts = np.unique(flat[order], return_index=True)
-    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    owners = np.repeat(right, sizes[right])[order]
     ends = np.append(firsts[1:], len(flat))
     u, v = [], []
-    for x in np.flatnonzero(group != int(counts.argmax())).tolist():
-        apart = np.flatnonzero(group != group[x])
+    for x in left.tolist():
+        apart = right[group[right] != group[x]]
         if not len(apart):
-            break
-        close = apart[_estimate(packed[apart] ^ packed[x]) >= least]
-        if not len(close):
             continue
-        at = np.searchsorted(shingles, sets[x])
-        spans = [owners[firsts[k] : ends[k]] for k in at.tolist()]
-        both = np.bincount(np.concatenate(spans), minlength=len(sets))[close]
-        for y in close[100 * both >= percent * (sizes[x] + sizes[close] - both)].tolist():
+        at = np.minimum(np.searchsorted(shingles, sets[x]), len(shingles) - 1)
+        at = at[shingles[at] == sets[x]]
+        if not len(at):
+            continue
+        both = np.bincount(np.concatenate([owners[firsts[k] : ends[k]] for k in at.tolist()]), minlength=len(sets))[apart]
+        for y in apart[100 * both >= percent * (sizes[x] + sizes[apart] - both)].tolist():
             if group[y] != group[x]:
                 u.append(int(nodes[x]))
                 v.append(int(nodes[y]))
@@ -234,45 +299,57 @@ def join_roots(nodes: np.ndarray, roots: list[int], sigs: list[bytes], sets: lis
     return u, v
 
 
-def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row: links have 100 * intersection >= percent * union."""
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, at, n, component_id, copies (rows of the same set) of every row."""
     rows = materialise(sketches(docs, width), "sketches")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    firsts = [F.first(c).alias(c) for c in ("sig", "bands", "marks")]
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"), *firsts)
     classes = materialise(classes.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "classes")
 
-    keys = classes.select("node", F.explode("bands").alias("key"))
-    centres = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "centre")
-    members = materialise(keys.join(centres, "key"), "members")
-    nodes = members.select("node").distinct().join(classes.select("node", "rep", "cls", "sig"), "node")
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    centres = materialise(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "centres")
+    members = materialise(join_spread(keys, centres, "key", "size", BANDS * classes.count(), ["node"]).select("key", "band", "node", "centre"), "members")
+    nodes = members.select("node").distinct().join(classes.select("node", "rep", "cls", "sig", "marks", "bytes"), "node")
     nodes = materialise(nodes, "nodes")
     texts = materialise(_texts(docs, nodes.select("node", "rep", "cls"), width), "texts")
     least = sieve_threshold(percent / 100)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialise(_confirm(_sift(pairs, nodes, least), texts, width, percent), "links")
-
-    stars = members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v"))
-    links = confirmed(stars.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    stars = members.where("node <> centre").groupBy(F.col("node").alias("v")).agg(F.min("centre").alias("u")).select("u", "v")
+    links = materialise(_confirm(_sift(stars, nodes, least), texts, width, percent), "links")
     roots = components(links)
 
-    def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
-        own = roots.select(F.col("node").alias(node), F.col("root").alias(root))
-        return df.join(own, node, "left").withColumn(root, F.coalesce(root, node))
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    clusters = components(stars.distinct()).select("node", F.col("root").alias("cluster"))
-    placed = rooted(nodes.select("node", "sig"), "node", "root").join(clusters, "node").join(texts, "node")
-    more = materialise(_compare_clusters(placed, width, percent), "more-links")
+    tiles = _tiles(members.select("key", "band", "node"), rooted(nodes.select("node", "sig", "marks", "bytes")))
+    close = materialise(_close(tiles, percent), "close")
+    more = materialise(_link_tiles(close, texts, width, percent), "more-links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
-    owned = rooted(classes.select("node", "cls", "rep"), "node", "root")
-    tops = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
-    belongs = owned.join(tops, "root").select("cls", "component_id")
-    out = rows.join(belongs, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    owned = rooted(classes.select("node", "cls", "rep", "copies"))
+    tops = owned.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_size"))
+    belongs = materialise(join_spread(owned, tops, "root", "_size", classes.count(), ["node"]).select("cls", "component_id", "copies"), "belongs")
+    full = join_spread(rows.where("cls IS NOT NULL").select("doc_id", "at", "n", "cls"), belongs, "cls", "copies", rows.count(), ["doc_id", "at"], keep_size=True)
+    bare = rows.where("cls IS NULL").select("doc_id", "at", "n", F.col("doc_id").alias("component_id"))
+    return full.select("doc_id", "at", "n", "component_id").union(bare)
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+
+
+def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row: links have 100 * intersection >= percent * union."""
+    return _linked(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept"))
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with their columns, whose id is the smallest of its component; rows without an id stay."""
-    kept = link(docs, width, percent).where("kept OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The rows of docs, with their columns, that ``link`` marks as kept, each id and text once; rows without an id stay."""
+    kept = _linked(docs, width, percent).where(_kept() | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).distinct()
+    held = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*held)
+    own, at = rows[held[docs.columns.index("doc_id")]], F.xxhash64(rows[held[docs.columns.index("text")]])
+    left = rows.withColumn("_key", at).join(kept, own.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_at")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(own, "_key").orderBy("_key"))
+    return left.withColumn("_first", first).where(own.isNull() | (F.col("_first") == 1)).select(*held).toDF(*docs.columns)

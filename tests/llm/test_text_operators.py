@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, decontaminate, license_scan, lm_score, minhash, quality, sharding
+from scriptorium.llm import _common, bpe, decontaminate, license_scan, lm_score, minhash, quality, sharding
 from scriptorium.llm._kernels import word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -155,16 +155,45 @@ def test_minhash_keep_and_empty(spark):
     assert minhash.link(docs(spark, ODD).limit(0)).count() == 0
 
 
-def test_minhash_large_clusters_in_blocks():
+def test_minhash_tiles_join_roots():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 100).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 100 - k], rng.integers(0, 1 << 62, k).astype(np.uint64)])) for k in (0, 1, 2, 30, 31, 5)]
-    sigs = [minhash.signature(minhash.minima(s)) for s in sets]
-    u, v = minhash.join_roots(np.arange(6), [0, 1, 2, 3, 4, 5], sigs, sets, minhash.sieve_threshold(0.8), 80)
+    twice = np.concatenate([np.full(6, 1), np.full(6, 2)])
+    u, v = minhash.join_roots(twice, np.tile(np.arange(6), 2), np.tile(np.arange(6), 2), sets + sets, 80)
     joined = {*u, *v}
     assert joined == {0, 1, 2, 5} and len(u) == 3
 
 
+def test_minhash_hot_buckets_equal_brute_force(spark, monkeypatch):
+    """Many texts between 0.6 and 1 of each other, so that buckets hold several components in several tiles, and hot keys are dealt out."""
+    monkeypatch.setattr(minhash, "TILE_LEAST", 4)
+    monkeypatch.setattr(_common, "HOT_ROWS", 8)
+    monkeypatch.setattr(_common, "HOT_SHARE", 1 << 30)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for g in range(8):
+        own = list(base)
+        for k in rng.choice(150, 14, replace=False):
+            own[k] = f"g{g}_{k}"
+        for k in range(12):
+            copy = list(own)
+            for at in rng.choice(150, int(rng.integers(0, 7)), replace=False):
+                copy[at] = f"c{g}_{k}_{at}"
+            rows.append((100 * g + k, " ".join(copy)))
+    rows += [(1000 + k, rows[0][1]) for k in range(30)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.link(docs(spark, rows), 2).collect())
+    assert got == sorted(components_by_force(rows, 2))
+    assert len({c for _, _, c in got}) > 1
+
+
+def test_minhash_keep_of_repeated_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    kept = minhash.keep(docs(spark, [(1, a), (7, b), (7, a), (7, b), (None, a), (None, a)]), 2)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (7, b), (None, a), (None, a)], key=str)
+
+
 def test_bit_estimates_are_corrected():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) for _ in range(2))
