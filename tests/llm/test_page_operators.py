@@ -1,12 +1,14 @@
 """Operators on pages: defined results for odd rows, and brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from scriptorium.llm import html_extract, url_filter, warc
+from scriptorium.llm import _common, html_extract, url_filter, warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -115,16 +117,91 @@ def test_main_text_of_articles(spark):
 
 def test_wrapper_without_an_article():
     page = '<div id="top">Our site</div><div class="c1"><p>Story {i} and a long line of text.</p><p>Second {i}</p><p>Share this story</p></div><div class="end">All the same</div>'
-    wrapper = html_extract.induce([page.format(i=i) for i in range(5)])
+    wrapper = wrapper_of([page.format(i=i) for i in range(5)])
     assert html_extract.extract(page.format(i=77), wrapper) == "Story 77 and a long line of text.\nSecond 77\nShare this story"
 
 
-def test_tree_matching_counts_aligned_nodes():
-    a, b = (html_extract.Shape(html_extract.parse(t)) for t in ("<div><p>x</p></div><ul><li>1</ul>", "<div><p>x</p><h2>y</h2></div><p>z</p><ul><li>2</ul>"))
-    assert html_extract.tree_match(a, b, {})[0] == 5
+def wrapper_of(pages):
+    """The wrapper as it comes from its stored form."""
+    return html_extract.Wrapper(html_extract.Slot.load(html_extract.induce(pages).dump()))
+
+
+def match_by_force(a, b):
+    """Simple tree matching by its definition."""
+    if a.label != b.label:
+        return 0
+    best = {}
+    for i in range(len(a.children) + 1):
+        for j in range(len(b.children) + 1):
+            best[i, j] = 0 if not i or not j else max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + match_by_force(a.children[i - 1], b.children[j - 1]))
+    return 1 + best[len(a.children), len(b.children)]
+
+
+def test_tree_matching_equals_its_definition():
+    rng = random.Random(5)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        tag = rng.choice(["div", "ul", "section"])
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(60):
+        keys = {}
+        a, b = (html_extract.Shape.of(html_extract.parse(tree(3) + tree(3)), keys) for _ in range(2))
+        size, pairs = html_extract.tree_match(a, b, {})
+        assert size == match_by_force(a, b)
+        assert [*pairs] == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+
+
+#: Pages of hosts without a telling word, and what is their main text.
+HOSTS = {
+    "bars": ('<div class="k1">Our site</div><article><div class="k2"><a>Pass it on</a></div><h1>Head {i}</h1><p>Body of number {i}, quite long.</p></article>', "Head {i}\nBody of number {i}, quite long."),
+    "promo": ('<article><p>Buy our book, it is the same offer on all pages of the site.</p></article><div class="k"><h2>Story {i}</h2><p>What happened on day {i} is told here.</p></div>', "Story {i}\nWhat happened on day {i} is told here."),
+    "boxes": ('<div><div>About us and all we do, at length, for everybody to read and to know.</div><div><p>Number {i} of our tales.</p></div><div>Write to us. Call us. Visit us. We are at home.</div></div>', "Number {i} of our tales."),
+    "about": ('<article><p>Text {i} is here, and it is a long one.</p><section><h3>Who writes</h3><p>A person of letters.</p></section><p>Its end, {i}.</p></article>', "Text {i} is here, and it is a long one.\nIts end, {i}."),
+    "weak": ('<article><p>Text {i} is here.</p><ul class="ad-hoc"><li>Get it now</li></ul><div class="ad-hoc">Found {i} of them.</div></article>', "Text {i} is here.\nFound {i} of them."),
+}
+
+
+@pytest.mark.parametrize("host", HOSTS)
+def test_wrapper_decides(host):
+    page, want = HOSTS[host]
+    wrapper = wrapper_of([page.format(i=i) for i in range(6)])
+    got, alone = html_extract.extract(page.format(i=77), wrapper), html_extract.extract(page.format(i=77), None)
+    assert got == want.format(i=77) and alone != got
+
+
+def test_classes_that_only_hold_a_telling_word():
+    for name in ("post form-body", "note side-effects", "ad-hoc", "notice-of-birth", "has-sidebar", "alert-reader"):
+        assert html_extract.extract(f'<article class="{name}">body</article>', None) == "body"
+        assert html_extract.extract(f'<article>a<div class="{name}">body</div></article>', None) == "a\nbody"
+    for name in ("ad", "ad-slot", "ads top", "side-bar", "cookie-notice", "comments", "share-buttons", "notice", "search-form", "ArticleSidebar"):
+        assert html_extract.extract(f'<article>a<div class="{name}">body</div></article>', None) == "a"
+
+
+def test_copies_are_no_template():
+    page = "<article><div>The same long text of an article that was put out many times.</div><p>{i}</p></article>"
+    assert html_extract.extract(page.format(i=9), wrapper_of([page.format(i=i) for i in range(6)])).startswith("The same long")
 
 
 def test_very_deep_and_odd_markup():
     deep = "<div>" * 600 + "text" + "</div>" * 10 + "<p"
     assert html_extract.extract(deep, None) == "text"
     assert html_extract.extract("a < b &#x41; &am <!-- never closed", None) == "a < b A &am"
+
+
+def test_very_deep_and_very_wide_pages(spark):
+    deep = ["<div>" * (5000 + k) + f"text {k}" for k in range(4)]
+    wide = ["<div>" + "".join(f"<div>{'<p>x' * (n % 7)}{'<h2>y' * (n % k)}</div>" for n in range(5000)) + "</div>" for k in (2, 3, 4, 5)]
+    rows = [(k, "http://deep/", d) for k, d in enumerate(deep)] + [(10 + k, "http://wide/", w) for k, w in enumerate(wide)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k] == f"text {k}" for k in range(4))
+    assert all(got[10 + k].count("x") == sum(n % 7 for n in range(5000)) for k in range(4))
+
+
+def test_wrappers_joined_by_host(spark, monkeypatch):
+    rows = [(i, f"http://{'h' if i % 3 else 'g'}/", PAGE.format(i=i)) for i in range(12)] + [(50, "http://none/", None)]
+    want = Counter(tuple(r) for r in html_extract.main_text(pages(spark, rows)).collect())
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(_common, "HOT_ROWS", 2)
+    assert Counter(tuple(r) for r in html_extract.main_text(pages(spark, rows)).collect()) == want
