@@ -184,10 +184,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return right.join(left, ["u", "salt"]).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _tiles(members: DataFrame, placed: DataFrame) -> DataFrame:
+def _tiles(members: DataFrame, placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, p, q, side, band, node, root, sig, marks: the tiles of the buckets whose members have several roots.
 
-    members has (key, band, node), placed has (node, root, sig, marks, bytes)."""
+    members has (key, band, node), placed has (node, root, bytes), nodes has (node, sig, marks), which only members of such buckets need."""
     held = materialise(members.join(placed, "node"), "placed")
     own = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     whole = own.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.min("root").alias("a"), F.max("root").alias("b"))
@@ -196,14 +196,14 @@ def _tiles(members: DataFrame, placed: DataFrame) -> DataFrame:
     across = F.greatest(F.ceil(F.col("n") / side), heavy).cast("int")
     down = F.greatest(F.ceil((F.col("n") - F.col("most")) / side), F.least(heavy, F.col("n") - F.col("most"))).cast("int")
     buckets = materialise(whole.where("a <> b").select("key", "n", "top", across.alias("across"), down.alias("down")), "buckets")
-    dealt = join_spread(held, buckets, "key", "n", held.count(), ["node"])
+    dealt = join_spread(held.select("key", "band", "node", "root"), buckets, "key", "n", held.count(), ["node"])
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    rest = ["band", "node", "root", "sig", "marks"]
     # The side of those outside the largest component is 1, that of all members 2, or 3 for those inside it.
-    first = dealt.where("root <> top").select("key", place("down").alias("p"), F.explode(upto("across")).alias("q"), F.lit(1).alias("side"), *rest)
-    second = dealt.select("key", F.explode(upto("down")).alias("p"), place("across").alias("q"), F.when(F.col("root") == F.col("top"), 3).otherwise(2).alias("side"), *rest)
-    return first.unionByName(second)
+    first = F.when(F.col("root") != F.col("top"), F.transform(upto("across"), lambda q: F.struct(place("down").alias("p"), q.alias("q"), F.lit(1).alias("side"))))
+    second = F.transform(upto("down"), lambda p: F.struct(p.alias("p"), place("across").alias("q"), F.when(F.col("root") == F.col("top"), 3).otherwise(2).alias("side")))
+    laid = dealt.join(nodes, "node").select("key", F.explode(F.concat(F.coalesce(first, F.slice(second, 1, 0)), second)).alias("tile"), "band", "node", "root", "sig", "marks")
+    return laid.select("key", "tile.*", "band", "node", "root", "sig", "marks")
 
 
 def _close(tiles: DataFrame, percent: int) -> DataFrame:
@@ -321,7 +321,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    tiles = _tiles(members.select("key", "band", "node"), rooted(nodes.select("node", "sig", "marks", "bytes")))
+    tiles = _tiles(members.select("key", "band", "node"), rooted(nodes.select("node", "bytes")), nodes.select("node", "sig", "marks"))
     close = materialise(_close(tiles, percent), "close")
     more = materialise(_link_tiles(close, texts, width, percent), "more-links")
     if not more.isEmpty():

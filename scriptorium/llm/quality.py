@@ -1,21 +1,26 @@
 """Quality rules as weak supervision, by DataFrame functions alone.
 
-Each rule votes -1 (bad), 1 (good) or abstains (0). Rules against a text only
-speak where they see junk, and rules for it only where they see prose, so that
-silence is no evidence. Counts of the vote patterns over all documents (at most 2
-** rules rows) feed an expectation-maximisation that estimates how often each
-rule is right where it speaks. A document's posterior probability of being good
-follows from its votes as a sum of log odds, and replaces an all-must-pass
-filter.
-
-Rules that tend to speak together would otherwise take the bad class for
-themselves; as each rule's accuracy is that over its own votes, one that speaks
-alone keeps its weight.
+Each rule votes -1 (bad), 1 (good) or abstains (0). ``HARD`` rules see clear signs
+of junk; an all-must-pass filter would drop whatever one of them votes against.
+``SOFT`` rules see slight signs, and the rules of ``FOR`` see prose. Counts of the
+vote patterns over all documents (at most 2 ** rules rows, and few in practice)
+feed an expectation-maximisation of a mixture of classes: good texts, and one
+class for each kind of junk named in ``KINDS``. It estimates the share of each
+class and how often each rule speaks in it, and so each rule's accuracy. A
+document's posterior probability of being good follows from its votes and
+silences, and replaces the all-must-pass filter: a text with one bad vote stays
+if all else speaks for it, and one that no hard rule votes against goes if many
+slight signs meet.
+
+One class for all junk would be taken by the kind whose rules speak together most;
+so each kind has its own, which starts from the texts that its hard rule votes
+against. Priors weigh as much as ``ANCHOR`` documents: hard rules seldom speak in
+good texts and each kind's own rule mostly does in that kind.
 
 Defined cases: a null or blank text has no words, so that the base rules fail
 it; repeated rows count and are judged each; an empty table gives an empty
-result. ``judge`` reads ``doc_id`` and ``text`` and ignores other columns; ``keep``
-keeps all columns, whatever their names.
+result; a posterior of exactly one half is good. ``judge`` reads ``doc_id`` and
+``text`` and ignores other columns; ``keep`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,94 +35,153 @@ from scriptorium.llm._common import words
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
-ITERATIONS = 30
-#: What a rule's accuracy is thought to be before any document, and the share of its votes that this weighs.
-PRIOR_ACCURACY, PRIOR_SHARE = 0.95, 1.0
-AGAINST = ["symbols", "shouting", "exclaim", "stutter", "dup_lines", "word_length", "length"]
-FOR = ["prose", "closed"]
-RULES = AGAINST + FOR
+ITERATIONS = 100
+#: Documents' worth of prior belief in what a rule is for, and in any rate.
+ANCHOR, SMOOTH = 20.0, 0.5
+HARD = ["symbols", "shouting", "exclaim", "stutter", "dup_lines", "word_length", "length"]
+SOFT = ["some_symbols", "loud", "some_exclaim", "some_stutter", "some_dup", "odd_words"]
+FOR = ["prose", "closed", "commas", "sentences"]
+RULES = HARD + SOFT + FOR
+#: Kinds of junk, by the hard rule that sees them.
+KINDS = ["symbols", "shouting", "stutter"]
 
 
-def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _count(marks: Column, char: str) -> Column:
+    return (F.length(marks) - F.length(F.replace(marks, F.lit(char), F.lit("")))).cast("long")
 
 
 def _measure(df: DataFrame, text: str) -> DataFrame:
     """Adds the struct ``_m`` of whatever rules vote on; df keeps its columns."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    # One pass leaves only the signs that are counted, a few in a hundred of all.
+    signs = F.regexp_replace(body, r"[^A-Z#*$%&|<>!.,]+", "")
+    marks = F.translate(signs, UPPER + SYMBOLS, "A" * len(UPPER) + "#" * len(SYMBOLS))
     return (
         df.withColumn("_w", words(F.col(text)))
         .withColumn("_l", lines)
+        .withColumn("_marks", marks)
         .withColumn(
             "_m",
             F.struct(
                 F.size("_w").cast("long").alias("n_words"),
                 F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-                _count(body, SYMBOLS).alias("n_symbols"),
-                _count(body, UPPER).alias("upper"),
-                _count(body, "!").alias("exclaims"),
+                *[_count(F.col("_marks"), c).alias(n) for c, n in (("#", "n_symbols"), ("A", "upper"), ("!", "exclaims"), (".", "dots"), (",", "commas"))],
                 F.coalesce(F.right(F.rtrim(body), F.lit(1)) == ".", F.lit(False)).alias("closed"),
                 F.size("_l").cast("long").alias("lines"),
                 (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
                 F.expr("size(filter(_w, (x, i) -> i > 0 AND x = _w[i - 1]))").cast("long").alias("stutters"),
             ),
         )
-        .drop("_l")
+        .drop("_l", "_marks")
     )
 
 
-def _votes(m: str) -> list[Column]:
-    """The rules' votes, from the struct named m."""
-    c = lambda k: F.col(f"{m}.{k}").cast("double")
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it: a name bound in a lambda is never replaced by its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _votes(m: Column) -> Column:
+    """The rules' votes, in the order of RULES, from the struct m."""
+    c = lambda k: m[k].cast("double")
     n, chars = F.greatest(c("n_words"), F.lit(1.0)), F.greatest(c("word_chars"), F.lit(1.0))
-    against = [
-        c("n_symbols") > 0.2 * n,
-        c("upper") > 0.4 * chars,
-        c("exclaims") > 0.3 * n,
-        c("stutters") > 0.2 * n,
-        c("n_dup_lines") > 0.5 * F.greatest(c("lines"), F.lit(1.0)),
-        (chars / n < 2) | (chars / n > 20),
-        c("n_words") < 20,
-    ]
-    speaks_for = [
-        (c("n_words") >= 50) & (c("n_symbols") <= 0.05 * n) & (c("upper") <= 0.15 * chars) & (c("stutters") <= 0.05 * n),
-        F.col(f"{m}.closed") & (c("n_symbols") <= 0.05 * n),
-    ]
-    return [F.when(x, -1).otherwise(0) for x in against] + [F.when(x, 1).otherwise(0) for x in speaks_for]
-
-
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
-
-
-def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[float]]:
-    """Estimates from (votes, documents): log odds of good before any vote, and what a vote of each rule adds."""
-    total = sum(n for _, n in patterns)
-    if not total:
-        return 0.0, [0.0] * len(RULES)
-    good = [0.1 if min(v) < 0 else 0.95 for v, _ in patterns]
-    # Silence is no evidence, so it can't be left to the votes how many texts are good.
-    base = _logit(min(0.99, max(0.5, sum(n for v, n in patterns if min(v) >= 0) / total)))
-    adds = [0.0] * len(RULES)
+    above = lambda k, share, of: c(k) > share * of
+    lines = F.greatest(c("lines"), F.lit(1.0))
+    calm = c("n_symbols") <= 0.05 * n
+    said = {
+        "symbols": above("n_symbols", 0.2, n),
+        "shouting": above("upper", 0.4, chars),
+        "exclaim": above("exclaims", 0.3, n),
+        "stutter": above("stutters", 0.2, n),
+        "dup_lines": above("n_dup_lines", 0.5, lines),
+        "word_length": (chars / n < 2) | (chars / n > 20),
+        "length": c("n_words") < 20,
+        "some_symbols": above("n_symbols", 0.05, n),
+        "loud": above("upper", 0.15, chars),
+        "some_exclaim": above("exclaims", 0.1, n),
+        "some_stutter": above("stutters", 0.05, n),
+        "some_dup": above("n_dup_lines", 0.2, lines),
+        "odd_words": (chars / n < 3.5) | (chars / n > 8),
+        "prose": calm & (c("n_words") > 0) & ~above("upper", 0.15, chars) & ~above("stutters", 0.05, n),
+        "closed": calm & m["closed"],
+        "commas": calm & c("commas").between(0.01 * n, 0.2 * n),
+        "sentences": calm & c("dots").between(0.02 * n, 0.25 * n),
+    }
+    return F.array(*[F.when(said[r], 1 if r in FOR else -1).otherwise(0) for r in RULES])
+
+
+class Model:
+    """Shares of the classes (good first, then KINDS), and how often each rule speaks in each."""
+
+    def __init__(self, shares: list[float], rates: list[list[float]]):
+        self.shares, self.rates = shares, rates
+
+    def class_logs(self) -> list[tuple[float, list[float]]]:
+        """For each class, the logarithm of its share and of all rules' silence, and what each vote adds."""
+        return [(math.log(s) + sum(math.log1p(-p) for p in r), [math.log(p) - math.log1p(-p) for p in r]) for s, r in zip(self.shares, self.rates, strict=True)]
+
+    def good(self, votes: tuple[int, ...]) -> float:
+        """The posterior probability of being good."""
+        logs = [base + sum(a for a, v in zip(adds, votes, strict=True) if v) for base, adds in self.class_logs()]
+        return 1 / sum(math.exp(min(700.0, x - logs[0])) for x in logs)
+
+    def accuracy(self) -> dict[str, float]:
+        """How often each rule is right where it speaks."""
+        out = {}
+        for j, rule in enumerate(RULES):
+            said = [s * r[j] for s, r in zip(self.shares, self.rates, strict=True)]
+            good = said[0] / sum(said)
+            out[rule] = good if rule in FOR else 1 - good
+        return out
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
+    """The model of (votes, documents)."""
+    own = [RULES.index(k) for k in KINDS]
+    weights = []
+    for v, _ in patterns:
+        hit = [float(v[j] != 0) for j in own]
+        weights.append([h / sum(hit) for h in [0.0, *hit]] if any(hit) else [1.0] + [0.0] * len(own))
+    model = Model([1 / (1 + len(own))] * (1 + len(own)), [[0.5] * len(RULES) for _ in range(1 + len(own))])
     for _ in range(ITERATIONS):
-        for j in range(len(RULES)):
-            bad_rule = j < len(AGAINST)
-            spoke = sum(n for v, n in patterns if v[j])
-            right = sum((1 - g if bad_rule else g) * n for g, (v, n) in zip(good, patterns, strict=True) if v[j])
-            weight = PRIOR_SHARE * spoke + 1e-9
-            accuracy = min(0.999, max(0.001, (right + PRIOR_ACCURACY * weight) / (spoke + weight)))
-            # A rule may say nothing, but not the opposite of what it is for.
-            adds[j] = -max(0.0, _logit(accuracy) + base) if bad_rule else max(0.0, _logit(accuracy) - base)
-        good = [1 / (1 + math.exp(-max(-50.0, min(50.0, base + sum(a for a, x in zip(adds, v, strict=True) if x))))) for v, _ in patterns]
-    return base, adds
+        shares, rates = [], []
+        for k in range(1 + len(own)):
+            mass = sum(n * w[k] for w, (_, n) in zip(weights, patterns, strict=True))
+            shares.append(mass + SMOOTH)
+            row = []
+            for j in range(len(RULES)):
+                spoke = sum(n * w[k] for w, (v, n) in zip(weights, patterns, strict=True) if v[j])
+                yes = SMOOTH + ANCHOR * (k > 0 and own[k - 1] == j)
+                no = SMOOTH + ANCHOR * (k == 0 and j < len(HARD))
+                row.append((spoke + yes) / (mass + yes + no))
+            rates.append(row)
+        model = Model([s / sum(shares) for s in shares], rates)
+        logs = model.class_logs()
+        weights = []
+        for v, _ in patterns:
+            x = [base + sum(a for a, y in zip(adds, v, strict=True) if y) for base, adds in logs]
+            e = [math.exp(y - max(x)) for y in x]
+            weights.append([y / sum(e) for y in e])
+    return model
+
+
+def _good(votes: Column, model: Model) -> Column:
+    """The posterior probability of being good."""
+
+    def logs(v: Column) -> Column:
+        return F.array(*[sum((F.abs(F.get(v, F.lit(j))) * add for j, add in enumerate(adds)), F.lit(base)) for base, adds in model.class_logs()])
+
+    def posterior(x: Column) -> Column:
+        return 1 / F.aggregate(x, F.lit(0.0), lambda total, y: total + F.exp(F.least(F.lit(700.0), y - F.get(x, F.lit(0)))))
+
+    return _once(_once(votes, logs), posterior)
 
 
-def _log_odds(votes: list[Column], base: float, adds: list[float]) -> Column:
-    out = F.lit(base)
-    for v, add in zip(votes, adds, strict=True):
-        out = out + F.when(v != 0, add).otherwise(0.0)
-    return out
+def _measured(df: DataFrame, text: str, model: Model) -> DataFrame:
+    """Adds ``_w`` and the struct ``_r`` of measures and the posterior; df keeps its columns."""
+    with_good = lambda m: F.struct(m.alias("m"), _good(_votes(m), model).alias("good"))
+    return _measure(df, text).withColumn("_r", _once(F.col("_m"), with_good)).drop("_m")
 
 
 def _repeats() -> Column:
@@ -147,40 +211,44 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     )
 
 
+def _failed() -> Column:
+    n = F.col("_r.m.n_words")
+    return (n < 20) | (100 * F.col("_repeat") > 30 * n)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality, kept of every row."""
-    measured = _measure(docs.select("doc_id", "text"), "text")
-    base, adds = fit(_patterns(docs))
-    full = _with_repeats(measured.drop("text"))
-    failed = (F.col("_m.n_words") < 20) | (100 * F.col("_repeat") > 30 * F.col("_m.n_words"))
-    quality = 1 / (1 + F.exp(-_log_odds(_votes("_m"), base, adds)))
+    full = _held(_with_repeats(_measured(docs.select("doc_id", "text"), "text", fit(_patterns(docs))).drop("text")))
     return full.select(
         "doc_id",
-        "_m.n_words",
-        "_m.word_chars",
-        "_m.n_symbols",
-        "_m.n_dup_lines",
+        *[F.col(f"_r.m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")],
         F.col("_repeat").alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        quality.alias("quality"),
-        (~failed & (quality >= 0.5)).alias("kept"),
+        _failed().alias("base_failed"),
+        F.col("_r.good").alias("quality"),
+        _kept().alias("kept"),
     )
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that ``judge`` keeps, with their columns."""
-    base, adds = fit(_patterns(docs))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"))
-    full = _with_repeats(_measure(packed, "_text"))
-    failed = (F.col("_m.n_words") < 20) | (100 * F.col("_repeat") > 30 * F.col("_m.n_words"))
-    # The filter mustn't be pushed below the features, where Catalyst would put
-    # their expressions in place of their names and compute them per element.
-    held = full.withColumn("_held", F.monotonically_increasing_id())
-    return held.where((F.col("_held") >= 0) & ~failed & (_log_odds(_votes("_m"), base, adds) >= 0)).select("_row.*")
+    full = _with_repeats(_measured(packed, "_text", fit(_patterns(docs))))
+    return _held(full).where(_kept()).select("_row.*")
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """A barrier: no filter on what ``_kept`` says is pushed below the features, where Catalyst
+    would put their expressions in place of their names and compute them per element. It rests
+    on Spark's rule that filters don't pass nondeterministic columns."""
+    return df.withColumn("_held", F.monotonically_increasing_id())
+
+
+def _kept() -> Column:
+    return (F.col("_held") >= 0) & ~_failed() & (F.col("_r.good") >= 0.5)
 
 
 def _patterns(docs: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """The vote patterns and their documents; bounded by the number of patterns."""
-    voted = _measure(docs.select("text"), "text").select(F.array(*_votes("_m")).alias("v"))
+    """The vote patterns and their documents. There are 2 ** len(RULES) at most, and as soft rules speak wherever hard ones do, far fewer."""
+    voted = _measure(docs.select("text"), "text").select(_once(F.col("_m"), _votes).alias("v"))
     rows = voted.groupBy("v").count().collect()
     return sorted((tuple(r["v"]), r["count"]) for r in rows)

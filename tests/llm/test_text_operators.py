@@ -96,8 +96,94 @@ def test_quality_weak_supervision_finds_junk(spark):
     assert quality.keep(clashing(docs(spark, rows))).columns == clashing(docs(spark, rows)).columns
 
 
+def votes_by_force(text):
+    """The rules by their definitions."""
+    n_words, chars, symbols, dups, _ = base_of(text)
+    t, ws = text or "", WORD.findall(text or "")
+    n, chars = max(n_words, 1), max(chars, 1)
+    lines = max(1, sum(bool(WORD.search(x)) for x in t.split("\n")))
+    upper, exclaims = len(re.findall("[A-Z]", t)), t.count("!")
+    stutters = sum(x == y for x, y in zip(ws, ws[1:]))
+    calm = symbols <= 0.05 * n
+    bad = [symbols > 0.2 * n, upper > 0.4 * chars, exclaims > 0.3 * n, stutters > 0.2 * n, dups > 0.5 * lines, not 2 <= chars / n <= 20, n_words < 20]
+    bad += [symbols > 0.05 * n, upper > 0.15 * chars, exclaims > 0.1 * n, stutters > 0.05 * n, dups > 0.2 * lines, not 3.5 <= chars / n <= 8]
+    good = [calm and n_words > 0 and upper <= 0.15 * chars and stutters <= 0.05 * n, calm and t.rstrip(" ")[-1:] == ".", calm and 0.01 * n <= t.count(",") <= 0.2 * n, calm and 0.02 * n <= t.count(".") <= 0.25 * n]
+    return tuple([-int(x) for x in bad] + [int(x) for x in good])
+
+
+def posterior_by_force(votes):
+    """Posteriors of all rows by the same mixture, row by row and with arrays."""
+    said = (np.array(votes) != 0).astype(float)
+    own = [quality.RULES.index(k) for k in quality.KINDS]
+    hits = said[:, own]
+    none = hits.sum(axis=1) == 0
+    w = np.column_stack([none.astype(float), hits / np.maximum(hits.sum(axis=1), 1)[:, None]])
+    yes = np.full((len(own) + 1, said.shape[1]), 0.5)
+    no = yes.copy()
+    no[0, : len(quality.HARD)] += 20
+    for k, j in enumerate(own):
+        yes[k + 1, j] += 20
+    for _ in range(100):
+        mass = w.sum(axis=0)
+        rate = (w.T @ said + yes) / (mass[:, None] + yes + no)
+        log = np.log((mass + 0.5) / (mass + 0.5).sum()) + said @ np.log(rate).T + (1 - said) @ np.log(1 - rate).T
+        w = np.exp(log - log.max(axis=1, keepdims=True))
+        w /= w.sum(axis=1, keepdims=True)
+    return w[:, 0]
+
+
+def test_quality_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "")]
+
+    def prose(n):
+        ws = rng.choice(vocabulary, n).tolist()
+        return " ".join(w + ("," if k % 9 == 4 else ". And" if k % 11 == 10 else "") for k, w in enumerate(ws)) + "."
+
+    rows = [(i, prose(int(rng.integers(10, 200)))) for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "%%%" for w in prose(60).split())) for i in range(15)]
+    rows += [(2000 + i, prose(60).upper().replace(" ", "!! ")) for i in range(15)]
+    rows += [(3000 + i, "word " * 70) for i in range(5)]
+    rows += [(4000, "\n".join([prose(9)] * 2 + [prose(5)] * 3 + [prose(30)])), (4001, prose(60).replace("a", "A").replace("e", "E").replace("i", "I").replace(" ", "! ", 12)), *ODD]
+    votes = [votes_by_force(t) for _, t in rows]
+    want = posterior_by_force(votes)
+    got = quality.judge(clashing(docs(spark, rows)))
+    held = Counter((r["doc_id"], r["n_words"], round(r["quality"], 6), r["kept"]) for r in got.collect())
+    expected = Counter()
+    for (i, t), q in zip(rows, want.tolist(), strict=True):
+        n, _, _, _, repeats = base_of(t)
+        expected[i, n, round(q, 6), not (n < 20 or 100 * repeats > 30 * n) and q >= 0.5] += 1
+    assert held == expected
+    passed = {i for (i, _), v in zip(rows, votes, strict=True) if not any(v[: len(quality.HARD)])}
+    kept = {r["doc_id"] for r in got.where("kept").collect()}
+    assert 4001 in passed - kept  # slight signs together outweigh passing every hard rule
+    assert kept == {r["doc_id"] for r in quality.keep(docs(spark, rows)).collect()}
+
+
+def test_quality_one_bad_vote_is_not_the_end():
+    patterns = [((0,) * 13 + (1, 1, 1, 1), 900), ((-1,) + (0,) * 6 + (-1,) + (0,) * 9, 60), ((0, -1, -1) + (0,) * 5 + (-1, -1, 0, 0, 0, 0, 0, 1, 1), 30), ((0,) * 4 + (-1,) + (0,) * 6 + (-1, 0, 1, 1, 1, 1), 10)]
+    model = quality.fit(patterns)
+    assert [model.good(v) >= 0.5 for v, _ in patterns] == [True, False, False, True]
+    assert abs(model.shares[0] - 0.91) < 0.01 and model.accuracy()["symbols"] > 0.95 > 0.5 > model.accuracy()["dup_lines"]
+
+
+def test_quality_against_labels(spark):
+    """At least as right as an all-must-pass filter on the labelled documents."""
+    d = "/root/testdata/sf0.01"
+    judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet"))
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    right = must = 0
+    for r in judged.where("NOT base_failed").collect():
+        if r["doc_id"] in labels:
+            right += r["kept"] == bool(labels[r["doc_id"]])
+            must += (not any(votes_by_force(texts[r["doc_id"]])[: len(quality.HARD)])) == bool(labels[r["doc_id"]])
+    assert right >= must > 0
+
+
 def test_quality_fit_without_rows():
-    assert quality.fit([]) == (0.0, [0.0] * len(quality.RULES))
+    model = quality.fit([])
+    assert all(0 < p < 1 for row in model.rates for p in row) and abs(sum(model.shares) - 1) < 1e-9
 
 
 # near-duplicates
