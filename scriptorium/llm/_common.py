@@ -13,7 +13,7 @@ from scriptorium.shipping import ship
 #: Java pattern of the white space that separates words: space and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WS", "add_columns", "arrow_batches", "fresh", "join_spread", "materialise", "shared_dir", "ship", "table", "words"]
+__all__ = ["WS", "add_columns", "arrow_batches", "extreme", "fresh", "join_spread", "materialise", "shared_dir", "ship", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,30 @@ def join_spread(big: DataFrame, small: DataFrame, key: str, size: str, total: in
     return dealt.join(copies if keep_size else copies.drop(size), [key, "_salt"]).drop("_salt")
 
 
+#: Classes of size in an octave, for thresholds.
+CLASSES = 8
+
+
+def extreme(df: DataFrame, column: str, most: int, largest: bool = True) -> DataFrame:
+    """Rows of df with the largest (or smallest) numbers in column, ``most`` of them at most.
+
+    Numbers fall into classes of an eighth of an octave, and a class is taken whole or
+    not at all, so a few hundred counts give a threshold and no task ranks all
+    rows. df is read twice and must be fixed.
+    """
+    size = F.floor(CLASSES * F.log2(F.greatest(F.col(column).cast("double"), F.lit(0.0)) + 1)).cast("int")
+    counts = sorted(((r["size"], r["count"]) for r in df.groupBy(size.alias("size")).count().collect()), reverse=largest)
+    taken, held = [], 0
+    for k, n in counts:
+        held += n
+        if held > most:
+            break
+        taken.append(k)
+    if not taken:
+        return df.limit(0)
+    return df.where(size >= taken[-1] if largest else size <= taken[-1])
+
+
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds Arrow batches, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,8 +7,8 @@ starts as the ids of its bytes; a fold by higher-order functions merges the
 leftmost pair of lowest rank until none is left, as the tokenizer's own merge
 loop does.
 
-The distinct words of all texts are counted, and the ``hot_words`` most
-frequent of those that are no token themselves are folded once. They and the
+The distinct words of all texts are counted, and the most frequent of those that
+are no token themselves, ``hot_words`` at most, are folded once. They and the
 tokens make up a table from word to ids of a proven bound (``hot_words`` words
 of at most ``HOT_CHARS`` code points), which is broadcast. Encoding looks words
 up in it. A fold costs about 0.1 ms a word in Spark's interpreter, so words
@@ -37,13 +37,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import arrow_batches, ship
+from scriptorium.llm._common import arrow_batches, extreme, materialise, ship
 
 #: Unicode's white space.
 _SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 HOT_WORDS = 1 << 17
 HOT_CHARS = 64
+#: A word that occurs once gains nothing by being folded apart from its text.
+HOT_LEAST = 2
 PAIR_BUCKETS = 1 << 16
 #: No rank.
 NONE = (1 << 62)
@@ -160,7 +162,8 @@ class Codec:
         counted = docs.select(F.explode(self.words(F.col("text"))).alias("w")).groupBy("w").count()
         tokens = [(t,) for t in {*map(_as_text, self.ranks)} - {None}]
         known = self.spark.createDataFrame(tokens, "w string")
-        best = counted.where(F.char_length("w") <= HOT_CHARS).join(F.broadcast(known), "w", "left_anti").orderBy(F.desc("count"), "w").limit(hot_words)
+        fit = counted.where((F.char_length("w") <= HOT_CHARS) & (F.col("count") >= HOT_LEAST)).join(F.broadcast(known), "w", "left_anti")
+        best = extreme(materialise(fit, "word-counts"), "count", hot_words)
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         return {r["w"]: pack(r["ids"]) for r in best.select("w").repartition(parts, "w").select("w", self.fold(F.col("w")).alias("ids")).collect()}
 

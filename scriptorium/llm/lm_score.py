@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents under bigram counts of all documents.
 
 The score of a word w after v is count(v w) / count(v) if the pair occurs
-``LEAST_COUNT`` times or more in the corpus, else ALPHA * count(w) / N; a text's first
+``least_count`` times or more in the corpus, else ALPHA * count(w) / N; a text's first
 word has count(w) / N, where N is the number of words of the corpus. A
 document's score is the sum of the logarithms.
 
@@ -37,10 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import arrow_batches, materialise, ship
+from scriptorium.llm._common import arrow_batches, extreme, materialise, ship
 from scriptorium.llm._kernels import mix, word_hashes
 
 ALPHA = 0.4
+#: How often a pair occurs in the corpus to count as seen. The scored texts are in the corpus
+#: themselves, so with 1 nothing would ever back off.
 LEAST_COUNT = 2
 KNOWN = 1 << 17
 FREQUENT = 1 << 10
@@ -154,7 +156,7 @@ class _Counts:
         self.logs = np.append(logs, 0.0)  # the last for what isn't known
 
 
-def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQUENT, least_count: int = LEAST_COUNT) -> DataFrame:
     """doc_id, n_words, log_score, mean_log of every row; the result doesn't depend on how many words are known or frequent."""
     spark = docs.sparkSession
     ship(spark)
@@ -163,7 +165,7 @@ def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQU
     docs = docs.select("doc_id", "text")
     table = materialise(unigrams(docs), "unigrams")
     total = table.agg(F.sum("n")).first()[0] or 0
-    top = sorted((r["word"] & (1 << 64) - 1, r["n"]) for r in table.orderBy(F.desc("n"), "word").limit(known_words).collect())
+    top = sorted((r["word"] & (1 << 64) - 1, r["n"]) for r in extreme(table, "n", known_words).collect())
     words = np.array([w for w, _ in top], dtype=np.uint64)
     counts = np.array([n for _, n in top], dtype=np.float64)
     most = np.sort(np.argsort(-counts, kind="stable")[:frequent_words])
@@ -172,7 +174,7 @@ def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQU
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_PAIRS))
     sc = spark.sparkContext
     known = sc.broadcast(_Counts(words, np.log(np.maximum(counts, 1)), max(total, 1)))
-    logs = np.where(square >= LEAST_COUNT, np.log(np.maximum(square, 1)) - np.log(np.maximum(counts[most], 1))[:, None], (math.log(ALPHA) + np.log(np.maximum(counts[most], 1)) - math.log(max(total, 1)))[None, :])
+    logs = np.where(square >= least_count, np.log(np.maximum(square, 1)) - np.log(np.maximum(counts[most], 1))[:, None], (math.log(ALPHA) + np.log(np.maximum(counts[most], 1)) - math.log(max(total, 1)))[None, :])
     ranks = np.full(len(words) + 1, -1, dtype=np.int64)
     ranks[most] = np.arange(len(most))
     local = sc.broadcast((ranks, logs))
@@ -227,7 +229,7 @@ def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQU
         a, b, at_a, at_b = (np.concatenate([x[k] for x in parts_of]) for k in range(4))
         _, at, n = np.unique(_pair_keys(a, b), return_inverse=True, return_counts=True)
         n = n[at]
-        seen = n >= LEAST_COUNT
+        seen = n >= least_count
         words, place = np.where(seen, a, b), np.where(seen, at_a, at_b)
         log = held.logs[place]
         gain = np.where(seen, np.log(n) - log, math.log(ALPHA) + log - held.log_total)

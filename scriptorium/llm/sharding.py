@@ -70,19 +70,32 @@ def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's generator takes up to 10 ** 9 of a kind; beyond, the draw is split, which is exact."""
+    """How many of n rows drawn without replacement are good.
+
+    numpy's generator takes up to 10 ** 9 of a kind. Beyond that each row is first
+    taken on its own with probability n / all, by two binomial draws. Of those
+    taken, any set of a size is as likely as any other, so drawing what is
+    missing, or putting back what is too much, by the same law leaves a uniform
+    set of n. Each such step leaves about the square root of n.
+    """
     most = 10**9 - 1
+    if not n or not good:
+        return 0
     if good <= most and bad <= most:
-        return int(rng.hypergeometric(good, bad, n)) if n else 0
-    total, taken = 0, 0
-    while taken < n:
-        step = min(n - taken, 10_000)
-        share = rng.random(step)
-        for u in share:
-            hit = u * (good + bad) < good
-            good, bad, total = good - hit, bad - (not hit), total + hit
-        taken += step
-    return total
+        return int(rng.hypergeometric(good, bad, n))
+    if 2 * n > good + bad:
+        return good - _hypergeometric(rng, good, bad, good + bad - n)
+    if n <= 16:
+        taken = 0
+        for _ in range(n):
+            hit = int(rng.integers(good + bad)) < good
+            good, bad, taken = good - hit, bad - (not hit), taken + hit
+        return taken
+    share = n / (good + bad)
+    x, y = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    if x + y <= n:
+        return x + _hypergeometric(rng, good - x, bad - y, n - x - y)
+    return x - _hypergeometric(rng, x, y, x + y - n)
 
 
 def _dealer(ends: dict[int, np.ndarray], seed: int) -> Callable[[Column], Column]:

@@ -2,8 +2,8 @@
 
 The stored entries (host, path prefix, verdict) are hashed with xxHash64. The
 index file holds the sorted digests, and beside each the place of the full
-string. A batch of urls yields its candidate entries (each suffix of the host
-with each stored path length), whose digests are probed by vectorised binary
+string. A batch of urls yields its candidate entries (each suffix of the host of
+as many labels as some entry has, with each stored path length), whose digests are probed by vectorised binary
 search; a hit counts only if the stored full string is equal, so collisions of
 digests never decide.
 
@@ -42,11 +42,11 @@ DEFAULT_RULES = [
 class DigestArray:
     """Sorted 64-bit digests of strings with the full strings beside them."""
 
-    PARTS = ("keys", "ends", "verdicts", "blob", "lengths")
+    PARTS = ("keys", "ends", "verdicts", "blob", "lengths", "labels")
 
     def __init__(self, files: list[str]):
         """files: those that build() returned, wherever they are now."""
-        self.keys, self.ends, self.verdicts, self.blob, self.lengths = (np.load(f, mmap_mode="r") for f in files)
+        self.keys, self.ends, self.verdicts, self.blob, self.lengths, self.labels = (np.load(f, mmap_mode="r") for f in files)
 
     @classmethod
     def build(cls, entries: list[tuple[str, str, str]], folder: str | Path, name: str) -> list[Path]:
@@ -59,6 +59,7 @@ class DigestArray:
             np.array([r[2] for r in rows], dtype=bool),
             np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8),
             np.array(sorted({n for _, n in held.values()}), dtype=np.int64),
+            np.array(sorted({host.count(".") + 1 for host, _, _ in entries}), dtype=np.int64),
         ]
         files = [Path(folder) / f"{name}-{p}.npy" for p in cls.PARTS]
         for file, part in zip(files, parts, strict=True):
@@ -83,12 +84,14 @@ class DigestArray:
         return found
 
 
-def _candidates(host: str, path: str, lengths: np.ndarray) -> list[bytes]:
-    if not host:
+def _candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[bytes]:
+    """The entries that could fit; as many as pairs of stored lengths and label counts, however long the host is."""
+    if not host or not labels:
         return []
-    labels = host.split(".")
-    suffixes = [".".join(labels[i:]) for i in range(len(labels))]
-    return [(s + path[:n]).encode() for n in lengths.tolist() if n <= len(path) for s in suffixes]
+    last = host.rsplit(".", labels[-1])
+    held = len(last) if len(last) <= labels[-1] else labels[-1]
+    suffixes = [".".join(last[-n:]) for n in labels if n <= held]
+    return [(s + path[:n]).encode() for n in lengths if n <= len(path) for s in suffixes]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, default: str = "allow") -> DataFrame:
@@ -104,11 +107,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, def
 
     def probe(batches):
         index = DigestArray([SparkFiles.get(n) for n in names])
+        lengths, labels = index.lengths.tolist(), index.labels.tolist()
         for b in batches:
             flat: list[bytes] = []
             counts = []
             for host, path in zip(b["host"].to_pylist(), b["path"].to_pylist(), strict=True):
-                own = _candidates(host, path, index.lengths)
+                own = _candidates(host, path, lengths, labels)
                 flat += own
                 counts.append(len(own))
             found = index.find(flat)

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import arrow_batches, materialise, shared_dir, ship
+from scriptorium.llm._common import arrow_batches, join_spread, materialise, shared_dir, ship
 
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -135,15 +135,17 @@ def with_revisits(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     """page_id, url, payload (binary), refers_to.
 
     Only (id, digest) rows of payloads that occur twice or more are joined by
-    digest, where a third of all rows may share one; the payloads themselves
-    are dealt by id and digest.
+    digest, and those of a digest that many rows share are dealt out; the payloads
+    themselves are dealt by id and digest.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     small = base.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "digest")
-    kept = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
+    kept = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    kept = materialise(kept, "copied-digests")
+    total = kept.agg(F.sum("n")).first()[0] or 0
     revisits = (
-        small.join(kept, "digest")
+        join_spread(small, kept, "digest", "n", total, ["page_id"])
         .where("page_id IS NULL OR page_id < refers_to")
         .groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"))
         .agg(F.max("refers_to").alias("refers_to"))

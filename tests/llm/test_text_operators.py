@@ -491,3 +491,28 @@ def test_bpe_fold_equals_the_library(spark, encoding):
 
 def test_bpe_of_nothing(spark):
     assert bpe.round_trip(docs(spark, ODD).limit(0), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_hypergeometric_beyond_numpys_range():
+    rng = np.random.Generator(np.random.PCG64(5))
+    good, bad, n = 3 * 10**9, 5 * 10**9, 2 * 10**9
+    draws = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(2000)], dtype=float)
+    mean = n * good / (good + bad)
+    spread = math.sqrt(mean * bad / (good + bad) * (good + bad - n) / (good + bad - 1))
+    assert abs(draws.mean() - mean) < 4 * spread / math.sqrt(len(draws)) and 0.9 < draws.std() / spread < 1.1
+    assert sharding._hypergeometric(rng, 4 * 10**9, 10**9, 5 * 10**9) == 4 * 10**9
+
+
+def test_hypergeometric_split_has_the_same_law(monkeypatch):
+    """The two binomials and their repair against numpy's own draws, for numbers that both can take."""
+    rng = np.random.Generator(np.random.PCG64(6))
+
+    class Small(int):
+        """Compares as more than numpy's limit, so that the split is used."""
+
+        def __le__(self, other):
+            return other <= 16 if other < 10**8 else False
+
+    own = Counter(sharding._hypergeometric(rng, Small(60), 90, 40) for _ in range(20_000))
+    ref = Counter(rng.hypergeometric(60, 90, 40, 20_000).tolist())
+    assert all(abs(own[k] - ref[k]) < 6 * math.sqrt(own[k] + ref[k] + 1) for k in {*own, *ref})
