@@ -21,27 +21,30 @@ def letters_and_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}\p{Co}]", "")
 
 
+def variant_faults(pairs: list[tuple[str, str]]) -> list[str]:
+    """What is wrong with a list of (variant, standard), one line for each fault."""
+    olds = [old for old, _ in pairs]
+    step = dict(pairs)
+    faults = [f"{old!r} to {new!r}: not single characters" for old, new in pairs if (len(old), len(new)) != (1, 1)]
+    faults += [f"{old!r}: maps to itself" for old, new in pairs if old == new]
+    faults += [f"{old!r}: mapped {olds.count(old)} times" for old in dict.fromkeys(olds) if olds.count(old) > 1]
+    ends = _closure(step)
+    return faults + [f"{old!r}: in a circle" for old in step if ends[old] in step and step[old] != old]
+
+
+def _closure(step: dict[str, str]) -> dict[str, str]:
+    """Where each key leads, by doubling the steps as often as a chain can need."""
+    ends = dict(step)
+    for _ in range(len(step).bit_length()):
+        ends = {old: ends.get(new, new) for old, new in ends.items()}
+    return ends
+
+
 def resolve_variants(pairs: list[tuple[str, str]]) -> dict[str, str]:
     """A character map with chains followed to their end (a to b and b to c give a to c)."""
-    table: dict[str, str] = {}
-    for old, new in pairs:
-        if len(old) != 1 or len(new) != 1:
-            raise ValueError(f"not single characters: {old!r}, {new!r}")
-        if old == new:
-            raise ValueError(f"maps to itself: {old!r}")
-        if old in table:
-            raise ValueError(f"mapped twice: {old!r}")
-        table[old] = new
-    out = {}
-    for old in table:
-        at, seen = old, {old}
-        while at in table:
-            at = table[at]
-            if at in seen:
-                raise ValueError(f"a circle of variants at {old!r}")
-            seen.add(at)
-        out[old] = at
-    return out
+    if faults := variant_faults(pairs):
+        raise ValueError("; ".join(faults))
+    return _closure(dict(pairs))
 
 
 def fold_variants(text: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -134,14 +134,13 @@ def modifications(text: str) -> list[dict]:
     return out
 
 
-def resolve_derivations(blocks: list[dict], passes: int = 6) -> list[dict]:
-    """Blocks (name, base, removed, added, items) whose items follow from their base's, in at most so many passes."""
+def resolve_derivations(blocks: list[dict]) -> list[dict]:
+    """Blocks (name, base, removed, added, items) of one document whose items follow from their base's, until nothing more follows."""
     known = {b["name"]: b["items"] for b in blocks if b["items"]}
-    for _ in range(passes):
+    before = -1
+    while len(known) != before:
         before = len(known)
         for b in blocks:
             if b["name"] not in known and b.get("base") in known:
                 known[b["name"]] = [i for i in known[b["base"]] if i["name"] not in b["removed"]] + [{"name": a, "dose": None, "note": None} for a in b["added"]]
-        if len(known) == before:
-            break
     return [b | {"items": known.get(b["name"], [])} for b in blocks]

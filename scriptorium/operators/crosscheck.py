@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import verdict
 from scriptorium.operators.collate import Haystack, length_of, normalise
+from scriptorium.operators.joins import small
 from scriptorium.operators.lineage import cut
 from scriptorium.shipping import ship
 
 # How strongly a passage names a bundle, from strong to weak.
 STRENGTHS = ["prescribed", "heading", "mentioned", "alias", "negated", "absent"]
 LEAST_PIECE, CLOSE_PIECE, LONGEST_PIECE = 16, 8, 600
+#: Quotations that are looked for together in a witness.
+QUOTE_BLOCK = 256
 
 
 def sentence_pieces(text: str) -> list[str]:
@@ -107,22 +110,28 @@ def verify_quotes(quotes: DataFrame, witnesses: DataFrame) -> DataFrame:
     """id, ratio, witness, verdict of quotations (id, own, segments) in witnesses (witness, text).
 
     All segments must be found, and the worst counts. The quotation's own witness is
-    taken if it agrees, else the best; witnesses are a stated small set."""
+    taken if it agrees, else the best. Quotations are a stated query set: they are
+    gathered in blocks of ``QUOTE_BLOCK``, and each witness's text goes once to each block,
+    where it is indexed once."""
     ship(quotes.sparkSession)
-    pairs = quotes.select("id", "own", "segments").join(F.broadcast(witnesses.select("witness", "text")))
+    rows = quotes.select("id", "own", F.coalesce("segments", F.array().cast(dict(quotes.dtypes)["segments"])).alias("segments"))
+    count = rows.count()
+    blocks = -(-count // QUOTE_BLOCK) or 1
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    texts = witnesses.select("witness", "text").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = texts.join(small(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "own", "segments")).alias("asked"))), "block")
 
     def run(batches):
-        held: dict[str, Haystack] = {}
         for b in batches:
-            rows = []
-            for k, own, segments, witness, text in zip(b["id"], b["own"], b["segments"], b["witness"], b["text"], strict=True):
-                hay = held.setdefault(witness, Haystack(text or ""))
-                hits = [hay.locate(normalise(s)[0]) for s in segments] if segments is not None and len(segments) else [None]
-                rows.append((k, own == witness, witness, min((h[0] if h else 0.0) for h in hits)))
-            yield pd.DataFrame(rows, columns=["id", "mine", "witness", "ratio"])
+            for asked, witness, text in zip(b["asked"], b["witness"], b["text"], strict=True):
+                hay, rows = Haystack(text or ""), []
+                for q in asked:
+                    hits = [hay.locate(normalise(s)[0]) for s in q["segments"]] or [None]
+                    rows.append((q["id"], q["own"] == witness, witness, min((h[0] if h else 0.0) for h in hits)))
+                yield pd.DataFrame(rows, columns=["id", "mine", "witness", "ratio"])
 
     kinds = dict(quotes.dtypes)
-    found = pairs.mapInPandas(run, f"id {kinds['id']}, mine boolean, witness string, ratio double")
+    found = pairs.select("asked", "witness", "text").mapInPandas(run, f"id {kinds['id']}, mine boolean, witness string, ratio double")
     order = F.struct((F.col("mine") & (F.col("ratio") >= 0.95)).alias("own"), F.col("ratio").alias("ratio"), F.col("mine").alias("mine"), F.col("witness").alias("witness"))
     best = found.groupBy("id").agg(F.max(order).alias("b")).select("id", F.round("b.ratio", 4).alias("ratio"), "b.witness")
     return best.withColumn("verdict", verdict(F.col("ratio"), floor=True))

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a stated small side is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and, by its values as text, bytes; else df as it is."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(16))
+    n, size = df.limit(rows + 1).select(width.alias("w")).agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

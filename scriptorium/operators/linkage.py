@@ -6,12 +6,12 @@ pair of a similarity above zero, and never from a product of the two sides.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import grams
 from scriptorium.operators.joins import small
+from scriptorium.operators.lineage import cut
 
 
 def dice_pairs(left: DataFrame, right: DataFrame, n: int = 3) -> DataFrame:
@@ -39,22 +39,18 @@ def best_match(left: DataFrame, pairs: DataFrame, threshold: float, bonus: Colum
 def one_to_one(pairs: DataFrame, group: str, threshold: float) -> DataFrame:
     """Greedy assignment in the order of left_id: each takes its best partner that is still free.
 
-    The pass is ordered by nature, so it goes group by group; pairs below the
-    threshold are gone before."""
-    kind = dict(pairs.dtypes)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for left, own in pdf.sort_values(["left_id", "score", "right_id"], ascending=[True, False, True]).groupby("left_id", sort=True):
-            for right, score in zip(own["right_id"], own["score"], strict=True):
-                if right not in taken:
-                    taken.add(right)
-                    rows.append((pdf[group].iloc[0], left, right, score))
-                    break
-        return pd.DataFrame(rows, columns=[group, "left_id", "right_id", "score"])
-
-    near = pairs.where(F.col("score") >= threshold).select(group, "left_id", "right_id", "score")
-    return near.groupBy(group).applyInPandas(assign, f"{group} {kind[group]}, left_id {kind['left_id']}, right_id {kind['right_id']}, score double")
+    As all partners prefer the least left_id, this is the stable matching, and it is found
+    by rounds over the whole table: each left proposes to the best partner that it
+    has left, each partner holds the least of its proposers, and pairs of a
+    partner with a greater left than it holds are gone. It ends when nobody is turned down."""
+    near = cut(pairs.where(F.col("score") >= threshold).select(group, "left_id", "right_id", "score"))
+    while True:
+        best = near.groupBy(group, "left_id").agg(F.min_by(F.struct("right_id", "score"), F.struct(-F.col("score"), "right_id")).alias("b")).select(group, "left_id", "b.right_id", "b.score")
+        held = cut(best.groupBy(group, "right_id").agg(F.min("left_id").alias("_held")))
+        rest = cut(near.join(held, [group, "right_id"], "left").where("_held IS NULL OR left_id <= _held").select(*near.columns))
+        if best.join(held, [group, "right_id"]).where("left_id > _held").isEmpty():
+            return best
+        near = rest
 
 
 def bags(rows: DataFrame, bag: str, item: str, dose: str, order: list[str]) -> DataFrame:
@@ -95,23 +91,21 @@ def jaccard_pairs(pairs: DataFrame, least: float) -> DataFrame:
 def leader_clusters(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     """group, leader, id: in the order of ids each free one leads and takes its free partners; clusters of two or more.
 
-    Only ids with a partner go through the ordered pass of their group."""
-    side = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    near = side.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("others")).join(members.select("id", group), "id")
-    kinds = dict(near.dtypes)
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for k, others in sorted(zip(pdf["id"], pdf["others"], strict=True)):
-            if k in taken:
-                continue
-            own = [o for o in others if o > k and o not in taken]
-            if own:
-                taken.update([k, *own])
-                rows += [(pdf[group].iloc[0], k, m) for m in [k, *own]]
-        return pd.DataFrame(rows, columns=[group, "leader", "id"])
-
-    return near.groupBy(group).applyInPandas(sweep, f"{group} {kinds[group]}, leader {kinds['id']}, id {kinds['id']}")
+    Pairs (a, b) are of one group. A round makes leaders of all ids without a
+    smaller partner that is still free; a partner of several goes to the least.
+    What is decided leaves with its pairs, until no pair is left."""
+    left = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    taken = None
+    while not left.isEmpty():
+        leaders = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        own = cut(left.join(leaders, "a").groupBy("b").agg(F.min("a").alias("leader")))
+        taken = own if taken is None else taken.union(own)
+        gone = own.select("b")
+        left = cut(left.join(leaders, "a", "left_anti").join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+    if taken is None:
+        taken = left.select("b", F.col("a").alias("leader"))
+    rows = taken.select("leader", F.col("b").alias("id")).union(taken.select("leader", "leader").distinct())
+    return rows.join(members.select("id", group), "id").select(group, "leader", "id")
 
 
 def name_families(rows: DataFrame, name: Column, base: Column, least: int = 2) -> DataFrame:

@@ -46,11 +46,28 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), r"\s+", " "))
 
 
-def strip_wiki(text: Column, passes: int = 4) -> Column:
-    """Wiki markup off a text: comments, references, templates from the innermost out, links to their labels, emphasis."""
+def drop_templates(text: Column) -> Column:
+    """A text without templates ({{...}} without single braces inside), however deep they stand in each other.
+
+    The text is cut at its double braces. Working from left to right, a closing
+    pair takes all back to the last open pair that it can close; what is never closed stays."""
+    parts = F.split(F.regexp_replace(text, r"(\{\{(?!\{)|\}\})", "\u0001$1\u0001"), "\u0001")
+
+    def step(held: Column, part: Column) -> Column:
+        top = F.element_at(held, -1)
+        closes = (part == "}}") & (F.size(held) > 1) & ~F.substring(top, 3, 1 << 30).rlike("[{}]")
+        opened = F.concat(held, F.array(part))
+        ended = F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))
+        joined = lambda x, more: F.concat(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.array(F.concat(F.element_at(x, -1), more)))
+        return F.when(part == "{{", opened).when(closes, ended).otherwise(joined(held, part))
+
+    return F.aggregate(parts, F.array(F.lit("")), step, lambda held: F.array_join(held, ""))
+
+
+def strip_wiki(text: Column) -> Column:
+    """Wiki markup off a text: comments, references, templates of any depth, links to their labels, emphasis."""
     out = F.regexp_replace(text, r"(?s)<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>", "")
-    for _ in range(passes):
-        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
+    out = drop_templates(out)
     out = F.regexp_replace(out, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
     out = F.regexp_replace(out, r"\[https?://\S+\s+([^\]]*)\]", "$1")
     return F.regexp_replace(F.regexp_replace(out, "'{2,}|</?[A-Za-z][^>]*>|__[A-Z]+__", ""), r"\n{3,}", "\n\n")

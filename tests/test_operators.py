@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import bundles, collate, evidence, graph, joins, linkage, revision, search
+from scriptorium.operators import bundles, collate, crosscheck, evidence, graph, joins, linkage, revision, search
 
 
 def test_semi_global_alignment():
@@ -155,3 +157,41 @@ def test_incremental(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "new")], "id int, text string")
     known = incremental.new_or_changed(rows, spark.createDataFrame([], "id int, key string")).select("id", "key")
     assert incremental.new_or_changed(spark.createDataFrame([(1, "a"), (2, "x")], "id int, text string"), known).count() == 1
+
+
+def test_one_to_one_equals_the_ordered_pass(spark):
+    rng = random.Random(4)
+    rows = [(g, a, b, round(rng.random(), 1)) for g in range(2) for a in range(12) for b in range(8) if rng.random() < 0.6]
+    want = []
+    for g in range(2):
+        taken = set()
+        for a in range(12):
+            own = sorted((-s, b) for h, x, b, s in rows if (h, x) == (g, a) and s >= 0.3 and b not in taken)
+            if own:
+                taken.add(own[0][1])
+                want.append((g, a, own[0][1], -own[0][0]))
+    got = linkage.one_to_one(spark.createDataFrame(rows, "grp int, left_id long, right_id long, score double"), "grp", 0.3)
+    assert sorted(tuple(r) for r in got.select("grp", "left_id", "right_id", "score").collect()) == want
+    assert linkage.one_to_one(spark.createDataFrame([], "grp int, left_id long, right_id long, score double"), "grp", 0.3).count() == 0
+
+
+def test_leader_clusters_equal_the_ordered_pass(spark):
+    rng = random.Random(9)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(45)) if a != b})
+    taken, want = set(), []
+    for k in range(40):
+        own = [b for a, b in pairs if a == k and b not in taken]
+        if k not in taken and own:
+            taken.update([k, *own])
+            want += [("g", k, m) for m in [k, *own]]
+    members = spark.createDataFrame([(k, "g") for k in range(40)], "id long, status string")
+    got = linkage.leader_clusters(members, spark.createDataFrame(pairs, "a long, b long"), "status")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_quotes_are_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(crosscheck, "QUOTE_BLOCK", 1)
+    text = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少白日依山盡黃河入海流欲窮千里目更上一層樓"
+    quotes = spark.createDataFrame([(1, "x", ["處處聞啼鳥夜來風雨聲"]), (2, "y", ["黃河入海流欲窮千里目"]), (3, "x", ["全無此語之文字在其中也"]), (4, "x", [])], "id long, own string, segments array<string>")
+    got = {r["id"]: (r["ratio"], r["witness"]) for r in crosscheck.verify_quotes(quotes, spark.createDataFrame([("x", text), ("y", text[20:])], "witness string, text string")).collect()}
+    assert got[1] == (1.0, "x") and got[2] == (1.0, "y") and got[3][0] < 0.8 and got[4][0] == 0

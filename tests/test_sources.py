@@ -89,3 +89,9 @@ def test_dispatch_and_sinks(spark, tmp_path):
     assert sinks.markdown_table(made.orderBy("text")).splitlines()[0] == "| source | text |"
     with pytest.raises(ValueError):
         sinks.markdown_table(made, 1)
+
+
+def test_templates_of_any_depth(spark):
+    deep = "a" + "{{x|" * 30 + "y" + "}}" * 30 + "b {{open c}} d {{{z}}} {{never"
+    t = spark.createDataFrame([(deep,), (None,), ("",)], "t string")
+    assert [r[0] for r in t.select(sections.drop_templates(F.col("t"))).collect()] == ["ab  d {} {{never", None, ""]
