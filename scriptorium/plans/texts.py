@@ -42,7 +42,19 @@ def dice_best_match(spark, d):
     return linkage.best_match(left, linkage.dice_pairs(left, right), 0.35)
 
 
-@query("one_to_one")
+ORDERED_PASS = """
+, s AS (SELECT left_id, right_id, round(dice, 3) AS score FROM p WHERE round(dice, 3) >= 0.42), o AS (SELECT left_id, row_number() OVER (ORDER BY left_id) AS k FROM (SELECT DISTINCT left_id FROM s)),
+g AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, NULL::DOUBLE AS score
+  UNION ALL
+  SELECT o.k, CASE WHEN count(s.right_id) = 0 THEN g.taken ELSE list_append(g.taken, arg_min(s.right_id, (-s.score, s.right_id))) END, o.left_id, arg_min(s.right_id, (-s.score, s.right_id)), max(s.score)
+  FROM g JOIN o ON o.k = g.k + 1 LEFT JOIN s ON s.left_id = o.left_id AND NOT list_contains(g.taken, s.right_id) GROUP BY o.k, o.left_id, g.taken
+)
+SELECT 0 AS grp, left_id, right_id, score FROM g WHERE right_id IS NOT NULL
+"""
+
+
+@query("one_to_one", DICE.replace("WITH a AS", "WITH RECURSIVE a AS") + ORDERED_PASS)
 def one_to_one(spark, d):
     """Greedy assignment of passages to texts in the order of the passages."""
     left, right = _sides(spark, d)
