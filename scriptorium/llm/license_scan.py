@@ -3,7 +3,9 @@
 A text is brought into a canonical form: lower case, copyright lines dropped,
 equivalent spellings made one, all but letters and digits turned into single
 spaces. The SHA-256 of the whole canonical text is hash-joined to the digests
-of known licences, a literal table whose size doesn't depend on the data.
+of known licences, a literal table whose size doesn't depend on the data: short
+licences by their texts, long ones by their digests, and whatever texts the
+caller adds.
 Beside this, lines that name a licence are looked up in the digests of known
 one-line notices.
 
@@ -38,6 +40,23 @@ LICENCES = {
     "BSD-3-Clause": [f"{head}{_BSD_HEAD}\n\n{a}{_BSD_1}\n\n{b}{_BSD_2}\n\n{c}{_BSD_3}\n\n{_BSD_END}" for head in ("", "BSD 3-Clause License\n\n") for a, b, c in (("1. ", "2. ", "3. "), ("", "", ""))],
 }
 
+# SHA-256 of the canonical form of long licence texts, as their publishers give them out.
+LONG_TEXTS = {
+    "Apache-2.0": ["0be25ae8b112b6c47bf696a745855eebba678079747ad8bbf877d928555027f1"],
+    "Artistic-1.0-Perl": ["e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.2": ["5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"],
+    "GFDL-1.3": ["93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"],
+    "GPL-1.0": ["ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"],
+    "GPL-2.0": ["331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"],
+    "GPL-3.0": ["a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"],
+    "LGPL-2.0": ["61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"],
+    "MPL-2.0": ["95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"],
+}
+
 # One-line notices.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
@@ -49,10 +68,6 @@ NOTICES = {
 
 # Spellings that count as equal, after lower-casing.
 SPELLINGS = {
-    "licence": "license",
-    "licences": "licenses",
-    "licenced": "licensed",
-    "sublicence": "sublicense",
     "organisation": "organization",
     "merchantibility": "merchantability",
     "noncommercial": "non commercial",
@@ -67,6 +82,7 @@ def canonical(text: Column) -> Column:
     and then a sign or year, and "all rights reserved" lines, are dropped."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, r"(?m)^[^\S\n]*(?:copyright[^\S\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$", " ")
+    out = F.regexp_replace(out, "licenc(?=e|ing|or)", "licens")
     for short, full in sorted(SPELLINGS.items(), key=lambda x: -len(x[0])):
         out = F.regexp_replace(out, rf"\b{short}\b", full)
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
@@ -87,8 +103,16 @@ def _notice_digests(docs: DataFrame) -> list[tuple[str, str]]:
     return sorted((r["known_digest"], r["license"]) for r in _known(docs, NOTICES).collect())
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_digest, license (of the whole text, else null), notices (licences of notice lines, sorted)."""
+def _licences(docs: DataFrame, more: dict[str, list[str]] | None) -> DataFrame:
+    """license, known_digest, one row of a digest."""
+    long = [(k, d) for k, digests in LONG_TEXTS.items() for d in digests]
+    texts = _known(docs, {k: [*LICENCES.get(k, []), *(more or {}).get(k, [])] for k in {**LICENCES, **(more or {})}})
+    both = texts.union(docs.sparkSession.createDataFrame(long, "license string, known_digest string"))
+    return both.groupBy("known_digest").agg(F.min("license").alias("license"))
+
+
+def scan(docs: DataFrame, more: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id, text_digest, license (of the whole text, else null), notices (licences of notice lines, sorted); more has further texts by licence."""
     notices = _notice_digests(docs)
     digests = F.array(*[F.lit(d) for d, _ in notices])
     names = F.array(*[F.lit(n) for _, n in notices])
@@ -96,5 +120,5 @@ def scan(docs: DataFrame) -> DataFrame:
     places = F.transform(lines, lambda x: F.array_position(digests, digest(x)))
     found = F.transform(F.filter(places, lambda p: p > 0), lambda p: F.element_at(names, p.cast("int")))
     rows = docs.select("doc_id", digest(F.col("text")).alias("text_digest"), F.array_sort(F.array_distinct(found)).alias("notices"))
-    known = F.broadcast(_known(docs, LICENCES))
+    known = F.broadcast(_licences(docs, more))
     return rows.join(known, rows["text_digest"] == known["known_digest"], "left").select("doc_id", "text_digest", "license", "notices")
