@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import evidence, relations, reports, texts  # noqa: F401
+from scriptorium.plans import evidence, passages, relations, reports, texts  # noqa: F401
 from scriptorium.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "composition_diff"
