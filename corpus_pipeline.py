@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next one's docs. All but the last return the
 columns of documents; the last adds n_tokens, ids and intact, which says that
 decoding the ids gives the text's bytes.
+
+Defined cases: null, empty and very short texts fail the base rules and go in the
+first stage; of rows with the same id and text one stays, and rows without an id
+stay; of equally good copies the one with the smallest id stays; an empty table
+gives an empty result with the same columns; further columns are carried through,
+whatever their names, but for the last stage's own.
 """
 
 from __future__ import annotations
