@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from scriptorium.shipping import ship
 #: Java pattern of the white space that separates words: space and tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
 
-__all__ = ["WS", "add_columns", "arrow_batches", "extreme", "fresh", "join_spread", "materialise", "shared_dir", "ship", "table", "words"]
+__all__ = ["WS", "add_columns", "arrow_batches", "extreme", "fresh", "join_spread", "materialise", "setting", "shared_dir", "ship", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +104,20 @@ def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """Within it the session has this setting; afterwards it has its own again."""
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, held)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like name that isn't taken, in whatever case."""
     held = {t.lower() for t in taken}
