@@ -80,6 +80,12 @@ def decode(column: pa.Array, width: int) -> np.ndarray:
     return exact(np.stack([np.frombuffer(v, dtype={2: np.int16, 4: np.int32}.get(len(v) // width, np.float64)).astype(np.float64) for v in held]), width)
 
 
+def first_rows(rows: DataFrame, order: list[Column], count: int, vector: str, scale: int, dim: int) -> np.ndarray:
+    """The integers of the first ``count`` rows, a parameter, in this order."""
+    held = [r[0] for r in rows.orderBy(*order).limit(count).select(vector).collect()]
+    return exact(np.floor(np.array(held, dtype=np.float64).reshape(-1, dim) * scale), dim)
+
+
 def same_kind(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both as objects if one is."""
     return (a.astype(object), b.astype(object)) if a.dtype != b.dtype else (a, b)

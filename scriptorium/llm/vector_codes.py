@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm._common import join_spread, materialise
-from scriptorium.llm._vectors import add_up, apart, decode, encode, exact, finite, halves, longs, same_kind
+from scriptorium.llm._vectors import add_up, apart, decode, encode, exact, finite, first_rows, halves, longs, same_kind
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Entries in a leaf, at most, unless they are all equal.
@@ -176,15 +176,15 @@ def quantise(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     if not dim:
         return spark.createDataFrame([], f"vec_id {kinds['id']}, code string, error long, label_error long, codebooks_sha256 string")
     width = dim // parts
-    coded = materialise(encode(rows.where(F.size("v") == dim), "v", scale, ["id", "label"]), "vectors")
-    firsts = coded.orderBy(F.col("id").asc_nulls_last(), "x").limit(entries).collect()
-    start = exact(np.concatenate([decode(pa.array([bytes(r["x"])], pa.binary()), dim) for r in firsts]), dim)
-    books = start.reshape(len(firsts), parts, width).swapaxes(0, 1)
+    rows = rows.where(F.size("v") == dim)
+    coded = materialise(encode(rows, "v", scale, ["id", "label"]), "vectors")
+    start = first_rows(rows, [F.col("id").asc_nulls_last(), F.col("v")], entries, "v", scale, dim)
+    books = start.reshape(len(start), parts, width).swapaxes(0, 1)
     for _ in range(rounds):
         after = books.astype(object)
         for (p, e), (n, sums) in _train(coded, books).items():
             after[p, e] = [s // n for s in sums]
-        books = exact(after.reshape(parts * len(firsts), width), dim).reshape(after.shape)
+        books = exact(after.reshape(parts * len(start), width), dim).reshape(after.shape)
     digest = hashlib.sha256(",".join(str(int(v)) for v in books.ravel()).encode()).hexdigest()
     out = materialise(_code(coded, books, kinds).withColumn("of", F.struct(F.col("label").isNull(), F.coalesce(F.col("label").cast("string"), F.lit("")))), "codes")
     total = F.when(F.count("error") == F.count(F.lit(1)), F.try_sum("error"))

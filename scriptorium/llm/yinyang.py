@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm._common import materialise
-from scriptorium.llm._vectors import add_up, apart, decode, encode, exact, finite, halves, longs, pack, same_kind, unpack
+from scriptorium.llm._vectors import add_up, apart, decode, encode, exact, finite, first_rows, halves, longs, pack, same_kind, unpack
 
 CLUSTERS, ROUNDS, DIM, SCALE = 16, 3, 64, 64
 #: Centroids in a group, about.
@@ -167,12 +167,10 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
     kind = dict(rows.dtypes)["id"]
     coded = materialise(encode(rows, "v", scale, ["id"]), "vectors")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
-    firsts = coded.orderBy(digest.asc_nulls_last(), "x").limit(clusters).collect()
+    centroids = first_rows(rows, [digest.asc_nulls_last(), F.col("v")], clusters, "v", scale, dim)
     out = "id {}, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
-    if not firsts:
+    if not len(centroids):
         return spark.createDataFrame([], out.format(kind)).withColumnRenamed("id", "vec_id")
-    centroids = np.concatenate([decode(pa.array([bytes(r["x"])], pa.binary()), dim) for r in firsts])
-    centroids = exact(centroids, dim)
     group = group_centroids(centroids)
     state, moved = coded, None
     for _ in range(rounds):

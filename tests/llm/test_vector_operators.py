@@ -37,9 +37,10 @@ def rows_of(seed, n, dim, spread=1.0, hot=0.3):
 
 
 def brute_clusters(rows, k, rounds, scale, dim):
-    kept = [(i, floors(v, scale)) for i, v, _ in rows if v is not None and len(v) == dim and good(v)]
-    first = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))[:k]
-    centroids = [x for _, x in first]
+    given = [(i, v) for i, v, _ in rows if v is not None and len(v) == dim and good(v)]
+    first = sorted(given, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))[:k]
+    kept = [(i, floors(v, scale)) for i, v in given]
+    centroids = [floors(v, scale) for _, v in first]
     for _ in range(rounds):
         at = [min(range(len(centroids)), key=lambda c: (square(x, centroids[c]), c)) for _, x in kept]
         for c in range(len(centroids)):
@@ -125,8 +126,8 @@ def brute_codes(rows, parts, entries, rounds, scale, dim):
     kept = [(i, floors(v, scale), label) for i, v, label in rows if good(v) and len(v) == dim]
     width = dim // parts
     piece = lambda x, p: x[p * width : (p + 1) * width]
-    first = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
-    books = [[piece(x, p) for _, x, _ in first] for p in range(parts)]
+    first = sorted((r for r in rows if good(r[1]) and len(r[1]) == dim), key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
+    books = [[piece(floors(v, scale), p) for _, v, _ in first] for p in range(parts)]
     near = lambda q, book: min(range(len(book)), key=lambda e: (square(q, book[e]), e))
     for _ in range(rounds):
         for p in range(parts):
