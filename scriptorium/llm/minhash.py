@@ -30,7 +30,8 @@ count as rows, each in its text's class; a null id is never the smallest, and a
 row without an id is never marked as kept; an empty table gives an empty
 result; other columns are ignored by ``link`` and kept by ``keep``. ``keep`` leaves
 one of the rows that are marked as kept with the same id and text, and all rows
-without an id.
+without an id. Ids are never joined by: rows get numbers of their own and are written
+with them first, as numbers given anew could differ.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm._common import arrow_batches, join_spread, materialise, ship
@@ -113,8 +114,13 @@ def _set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row, a number; kept in a table."""
+    return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, at (hash of the text), bytes (of the text), n (size of the set), cls (key of the set), sig, bands, marks (short forms of the band keys, packed) of every row."""
+    """row, doc_id, at (hash of the text), bytes (of the text), n (size of the set), cls (key of the set), sig, bands, marks (short forms of the band keys, packed) of every row."""
     ship(docs.sparkSession)
     arrow_batches(docs.sparkSession)
 
@@ -134,23 +140,23 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     for x in (cls, sig, bands, marks):
                         x.append(None)
             made = [pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["at"], b["bytes"], *made], ["doc_id", "at", "bytes", "n", "cls", "sig", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["at"], b["bytes"], *made], ["row", "doc_id", "at", "bytes", "n", "cls", "sig", "bands", "marks"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, at long, bytes long, n long, cls binary, sig binary, bands array<long>, marks binary")
+    rows = docs.select("row", "doc_id", F.xxhash64("text").alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, at long, bytes long, n long, cls binary, sig binary, bands array<long>, marks binary")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, text of the classes named by nodes (node, rep, cls)."""
+    """node, text of the classes named by nodes (node, row, cls)."""
 
     def run(batches):
         for b in batches:
             same = [len(s) and _set_key(s) == c for s, c in zip(shingle_sets(b["text"].to_pylist(), width), b["cls"].to_pylist(), strict=True)]
             yield b.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
 
-    found = docs.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("rep")))
-    return found.select("node", "cls", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    found = docs.select("row", "text").join(nodes, "row")
+    return found.select("node", "cls", "text").mapInArrow(run, "node long, text string")
 
 
 def _sift(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -300,18 +306,18 @@ def join_roots(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: lis
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, at, n, component_id, copies (rows of the same set) of every row."""
+    """row, doc_id, at, n, component_id of every row of docs (row, doc_id, text)."""
     rows = materialise(sketches(docs, width), "sketches")
     firsts = [F.first(c).alias(c) for c in ("sig", "bands", "marks")]
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"), *firsts)
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies"), *firsts)
     classes = materialise(classes.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "classes")
 
     keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     centres = materialise(keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "centres")
     members = materialise(join_spread(keys, centres, "key", "size", BANDS * classes.count(), ["node"]).select("key", "band", "node", "centre"), "members")
-    nodes = members.select("node").distinct().join(classes.select("node", "rep", "cls", "sig", "marks", "bytes"), "node")
+    nodes = members.select("node").distinct().join(classes.select("node", "row", "cls", "sig", "marks", "bytes"), "node")
     nodes = materialise(nodes, "nodes")
-    texts = materialise(_texts(docs, nodes.select("node", "rep", "cls"), width), "texts")
+    texts = materialise(_texts(docs, nodes.select("node", "row", "cls"), width), "texts")
     least = sieve_threshold(percent / 100)
 
     stars = members.where("node <> centre").groupBy(F.col("node").alias("v")).agg(F.min("centre").alias("u")).select("u", "v")
@@ -330,9 +336,9 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     owned = rooted(classes.select("node", "cls", "rep", "copies"))
     tops = owned.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_size"))
     belongs = materialise(join_spread(owned, tops, "root", "_size", classes.count(), ["node"]).select("cls", "component_id", "copies"), "belongs")
-    full = join_spread(rows.where("cls IS NOT NULL").select("doc_id", "at", "n", "cls"), belongs, "cls", "copies", rows.count(), ["doc_id", "at"], keep_size=True)
-    bare = rows.where("cls IS NULL").select("doc_id", "at", "n", F.col("doc_id").alias("component_id"))
-    return full.select("doc_id", "at", "n", "component_id").union(bare)
+    full = join_spread(rows.where("cls IS NOT NULL").select("row", "doc_id", "at", "n", "cls"), belongs, "cls", "copies", rows.count(), ["row"])
+    bare = rows.where("cls IS NULL").select("row", "doc_id", "at", "n", F.col("doc_id").alias("component_id"))
+    return full.select("row", "doc_id", "at", "n", "component_id").union(bare)
 
 
 def _kept() -> Column:
@@ -341,15 +347,16 @@ def _kept() -> Column:
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: links have 100 * intersection >= percent * union."""
-    return _linked(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept"))
+    rows = _numbered(docs.select("doc_id", "text"))
+    return _linked(rows, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept"))
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with their columns, that ``link`` marks as kept, each id and text once; rows without an id stay."""
-    kept = _linked(docs, width, percent).where(_kept() | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).distinct()
     held = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*held)
-    own, at = rows[held[docs.columns.index("doc_id")]], F.xxhash64(rows[held[docs.columns.index("text")]])
-    left = rows.withColumn("_key", at).join(kept, own.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_at")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(own, "_key").orderBy("_key"))
-    return left.withColumn("_first", first).where(own.isNull() | (F.col("_first") == 1)).select(*held).toDF(*docs.columns)
+    rows = _numbered(docs.toDF(*held))
+    pair = rows.select("row", F.col(held[docs.columns.index("doc_id")]).alias("doc_id"), F.col(held[docs.columns.index("text")]).alias("text"))
+    linked = materialise(_linked(pair, width, percent), "linked")
+    once = linked.where(_kept()).groupBy("doc_id", "at").agg(F.min("row").alias("row")).select("row")
+    kept = once.union(linked.where("doc_id IS NULL").select("row"))
+    return rows.join(kept, "row", "left_semi").select(*held).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -281,6 +282,37 @@ def test_minhash_keep_of_repeated_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (7, b), (None, a), (None, a)], key=str)
 
 
+def near_copies(n, seed=5):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(60)]
+    out = []
+    for i in range(n):
+        own = [f"t{i // 4}_{k}" if k % 2 else base[k] for k in range(60)]
+        own[int(rng.integers(60))] = f"c{i}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_minhash_of_rows_without_id_or_with_one_id(spark):
+    """Thousands of such rows take what rows with ids take, as no row is found by its id; the groups are the same."""
+    texts = near_copies(3000)
+    some = texts[:300]
+    took = {}
+    for name, ids in (("own", range(3000)), ("none", [None] * 3000), ("one", [7] * 3000)):
+        began = time.time()
+        got = minhash.link(docs(spark, list(zip(ids, texts, strict=True))), 2).collect()
+        took[name] = time.time() - began
+        assert len(got) == 3000
+        assert {r["component_id"] for r in got} == ({*range(0, 3000, 4)} if name == "own" else {*ids})
+    assert max(took["none"], took["one"]) < 3 * took["own"] + 5
+    for ids in ([None if i % 3 else i for i in range(300)], [i % 5 for i in range(300)]):
+        rows = list(zip(ids, some, strict=True))
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.link(docs(spark, rows).repartition(3), 2).collect()), key=str)
+        assert got == sorted(components_by_force(rows, 2), key=str)
+    same = [(7, texts[0])] * 900 + [(None, texts[4])] * 50 + [(8, texts[8])]
+    assert sorted(str(r["doc_id"]) for r in minhash.keep(docs(spark, same), 2).collect()) == ["7", "8", *["None"] * 50]
+
+
 def test_bit_estimates_are_corrected():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) for _ in range(2))
