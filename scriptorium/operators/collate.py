@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import AGREE, EPSILON, MISSING, VARIANT
-from scriptorium.operators.joins import small
 from scriptorium.shipping import ship
 
 GRAM, DIAGONAL, WINDOWS, LEAST_SLACK = 4, 16, 8, 8
@@ -208,36 +207,3 @@ def collate(passages: DataFrame, witnesses: DataFrame) -> DataFrame:
     ddl = f"source {kinds['source']}, witness {kinds['witness']}, pos {kinds['pos']}, verdict string, ratio double, start long, `end` long"
     other = witnesses.select(F.col("source").alias("s"), F.col("witness").alias("w"), "text")
     return both.groupBy("source", "witness").cogroup(other.groupBy("s", "w")).applyInPandas(run, ddl)
-
-
-def _word_grams(texts: DataFrame, key: str, n: int) -> DataFrame:
-    """key, g: the hashes of each text's runs of n words."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    held = texts.select(F.col("id").alias(key), words.alias("w")).where(F.size("w") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(n))))
-    return held.select(key, F.explode(F.array_distinct(runs)).alias("g"))
-
-
-def locate_all(needles: DataFrame, hays: DataFrame, least: float = VARIANT, words: int = 3) -> DataFrame:
-    """needle, hay, ratio, start, end of the needles (id, text) found in hays (id, text).
-
-    Pairs are formed by common runs of words, through an inverted index of the needles, never all with all."""
-    ship(hays.sparkSession)
-    index = small(_word_grams(needles, "needle", words))
-    own = _word_grams(hays, "hay", words)
-    pairs = own.join(index, "g").select("needle", "hay").distinct()
-    full = pairs.join(small(needles.select(F.col("id").alias("needle"), F.col("text").alias("n"))), "needle").join(hays.select(F.col("id").alias("hay"), F.col("text").alias("h")), "hay")
-
-    def run(batches):
-        for b in batches:
-            rows, last, held = [], None, None
-            for needle, hay, n, h in zip(b["needle"], b["hay"], b["n"], b["h"], strict=True):
-                if hay != last:
-                    last, held = hay, Haystack(h)
-                hit = held.locate(normalise(n)[0])
-                if hit and hit[0] >= least - EPSILON:
-                    rows.append((needle, hay, round(hit[0], 4), int(held.places[hit[1]]), int(held.places[max(hit[2] - 1, hit[1])]) + 1))
-            yield pd.DataFrame(rows, columns=["needle", "hay", "ratio", "start", "end"])
-
-    kinds = dict(full.dtypes)
-    return full.select("needle", "hay", "n", "h").mapInPandas(run, f"needle {kinds['needle']}, hay {kinds['hay']}, ratio double, start long, `end` long")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import text
-from scriptorium.operators import collate, graph, linkage, search
+from scriptorium.functions import offsets, text
+from scriptorium.operators import gapped, graph, linkage, locating, search
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import sections
 
@@ -66,15 +66,62 @@ def one_to_one(spark, d):
 def locate_quotes(spark, d):
     """Where the benchmark's passages stand in the documents, with small differences."""
     left, right = _sides(spark, d)
-    return collate.locate_all(left, right)
+    return locating.locate(left, right)
 
 
-@query("ordered_collation", "SELECT conv_id AS source, turn AS pos, CASE WHEN length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) > 0 THEN 'agree' ELSE 'missing' END AS verdict FROM conversations")
+REMARK = "\n~ a remark of another hand, which no turn has ~\n"
+
+KEEP = r"[\p{L}\p{N}\p{Co}]"
+DROP = r"[^\p{L}\p{N}\p{Co}]"
+
+
+def _witness(turns: DataFrame, between: str) -> DataFrame:
+    whole = turns.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), between).alias("text"))
+    return whole.withColumn("witness", F.lit("w"))
+
+
+@query(
+    "ordered_collation",
+    f"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations),
+w AS (SELECT *, CAST(sum(length(x) + {len(REMARK)}) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) - length(x) - {len(REMARK)} AS base, regexp_matches(x, '{KEEP}') AS has FROM t)
+SELECT conv_id AS source, turn AS pos, CASE WHEN has THEN 'agree' ELSE 'missing' END AS verdict, CASE WHEN has THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ratio,
+CASE WHEN has THEN base + length(regexp_extract(x, '^{DROP}*')) END AS "start", CASE WHEN has THEN base + length(regexp_replace(x, '{DROP}*$', '')) END AS "end" FROM w
+""",
+)
 def ordered_collation(spark, d):
-    """The turns of each conversation found in order in its whole text."""
+    """Where the turns of each conversation stand in its whole text, in which an editor has put remarks between them."""
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("pos"), "text")
-    whole = turns.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text")).withColumn("witness", F.lit("w"))
-    return collate.collate(turns, whole).select("source", "pos", "verdict")
+    out = gapped.collate(turns, _witness(turns, REMARK))
+    return out.select("source", F.col("pos").cast(dict(turns.dtypes)["pos"]).alias("pos"), "verdict", "ratio", "start", "end")
+
+
+@query("gapped_collation")
+def gapped_collation(spark, d):
+    """The turns of each conversation in a damaged copy: every third turn is gone, one of seven words lacks its middle, and a remark follows each first sentence."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("source"), F.col("turn").alias("pos"), "text")
+    damaged = F.regexp_replace(F.regexp_replace("text", r"((?:\w+\W+){6}\w)\w+(\w)", "$1$2"), r"^([^.]{20,}\. )", f"$1{REMARK.strip()}. ")
+    copy = turns.where("pos % 3 <> 2").withColumn("text", damaged)
+    out = gapped.notes(gapped.collate(turns, _witness(copy, "\n")))
+    return out.select("source", "pos", "verdict", "ratio", "start", "end", "pieces", "placed", "gaps", "gap_signs", F.size("segments").alias("segments"), "note")
+
+
+@query(
+    "offset_maps",
+    f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS c, coalesce(text, '') AS x FROM documents WHERE coalesce(length(text), 0) > 0), p AS (SELECT doc_id, x, list_filter(range(1, len(c) + 1), lambda i: regexp_matches(c[i], '{KEEP}')) AS places FROM s)
+SELECT doc_id, CAST(len(places) AS BIGINT) AS n, md5(regexp_replace(x, '{DROP}', '', 'g')) AS form, CASE WHEN len(places) > 0 THEN places[len(places) // 2 + 1] - 1 END AS middle, CASE WHEN len(places) > 0 THEN x[places[len(places) // 2 + 1]] END AS sign,
+CAST(length(regexp_replace(x[1:length(x) // 3], '{DROP}', '', 'g')) AS BIGINT) AS third FROM p
+UNION ALL SELECT doc_id, 0, md5(''), NULL, NULL, 0 FROM documents WHERE coalesce(length(text), 0) = 0
+""",
+)
+def offset_maps(spark, d):
+    """Texts in normal form with a map to where its signs stood: from its middle back to the source, and from a third of the source on."""
+    docs = offsets.with_offsets(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", offsets.Form(compatible=False))
+    n, half = F.char_length("norm"), F.floor(F.char_length("norm") / 2)
+    middle = offsets.to_source(F.col("runs"), half)
+    third = offsets.to_normal(F.col("runs"), F.floor(F.char_length("text") / 3))
+    return docs.select("doc_id", n.cast("long").alias("n"), F.md5("norm").alias("form"), middle.cast("long").alias("middle"), F.when(n > 0, F.substring(F.col("text"), middle.cast("int") + 1, F.lit(1))).alias("sign"), third.cast("long").alias("third"))
 
 
 @query("content_keys", "SELECT doc_id, substr(sha256(coalesce(text, '') || chr(10) || coalesce(lang, '')), 1, 16) AS key FROM documents")
