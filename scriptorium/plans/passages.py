@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import passages
+from scriptorium.operators import covers, passages, transducer
 from scriptorium.plans.registry import query, table
-from scriptorium.sources import sections
+from scriptorium.sources import parsers, sections
 
 LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)"
 
@@ -126,3 +126,56 @@ def projected_evidence(spark, d):
     op = F.array(F.struct(F.when(F.col("value") < 50, "changed").otherwise("equal").alias("op"), F.lit("t").alias("text")))
     records = table(spark, d, "events").select("event_id", "user_id", "value", F.col("props").alias("licence"), op.alias("variants"))
     return passages.projected(records, ["user_id", "value"], {"licence": "none"}, "variants").select("event_id", "licence", F.get("variants", F.lit(0))["op"].alias("variant"))
+
+
+#: Items stop at a blank line, and only a heading opens them again.
+SHELVES = transducer.Machine(
+    ("outside", "open", "items", "closed"),
+    "outside",
+    ("blank", "head", "item", "plain"),
+    {("*", "head"): "open", ("open", "item"): "items", ("open", "plain"): "closed", ("items", "blank"): "outside", ("items", "plain"): "closed", ("closed", "item"): "outside"},
+)
+
+
+def _step(state: str) -> str:
+    """The machine's move in SQL."""
+    cases = " ".join(f"WHEN {state} = '{s}' AND k.kind = '{k}' THEN '{SHELVES.step(s, k)}'" for s in SHELVES.states for k in SHELVES.kinds if SHELVES.step(s, k) != s)
+    return f"CASE {cases} ELSE {state} END"
+
+
+@query("machine_states", f"""
+WITH RECURSIVE {LINES}, k AS (SELECT doc_id, pos, CASE WHEN trim(line, ' ') = '' THEN 'blank' WHEN length(line) < 40 THEN 'head' WHEN contains(line, '|') OR contains(line, '#') OR contains(line, ',') THEN 'item' ELSE 'plain' END AS kind FROM l),
+s AS (SELECT doc_id, pos, kind, {_step("'outside'")} AS state FROM k WHERE pos = 1 UNION ALL SELECT k.doc_id, k.pos, k.kind, {_step("s.state")} FROM s JOIN k ON k.doc_id = s.doc_id AND k.pos = s.pos + 1)
+SELECT doc_id, kind, state, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM s GROUP BY 1, 2, 3
+""")
+def machine_states(spark, d):
+    """States of a machine over the lines of documents, in which blank lines close lists."""
+    line = F.col("line")
+    kind = F.when(F.trim(line) == "", "blank").when(F.char_length(line) < 40, "head").when(line.rlike("[|#,]"), "item").otherwise("plain")
+    held = transducer.run(_lines(spark, d).withColumn("doc", F.col("doc_id")), "doc_id", kind, SHELVES)
+    first = _lines(spark, d).agg(F.min("pos")).first()[0] or 0
+    return held.groupBy("doc_id", "kind", "state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos") - first + 1).cast("long").alias("places"))
+
+
+@query("parsed_clauses")
+def parsed_clauses(spark, d):
+    """Numbered clauses of documents and what is attached to the headings between them: the parser with patterns for plain prose."""
+    style = parsers.Style(number=r"^[0-9]+[.)]? ", heading=r"^([^.,;:!?]{1,39}?)(?: ?[(]([^)]*)[)])?$", item=r"[|#]", directions=r"^[^.]*:", aside=r"^[*]")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("source"), "text")
+    tables = parsers.clauses(docs, style)
+    sizes = tables["attached"].groupBy("source", "number").agg(F.count(F.lit(1)).alias("attached"), F.countDistinct("name").alias("headings"))
+    out = tables["clauses"].join(sizes, ["source", "number"], "left")
+    return out.select(F.col("source").alias("doc_id"), "number", F.md5("text").alias("digest"), F.coalesce("attached", F.lit(0)).alias("attached"), F.coalesce("headings", F.lit(0)).alias("headings"))
+
+
+@query("label_cover", """
+WITH t AS (SELECT term, min(concept) AS concept FROM (SELECT unnest(string_split(p_name, ' ')) AS term, p_brand AS concept FROM part WHERE p_size <= 10) GROUP BY 1),
+a AS (SELECT DISTINCT item_id AS id, unnest(string_split(lower(coalesce(text, '')), ' ')) AS term FROM benchmark UNION SELECT DISTINCT p_partkey + 1000000, unnest(string_split(p_name, ' ')) FROM part)
+SELECT id, count(*) = count(concept) AS covered, coalesce(string_agg(concept, '|' ORDER BY term) FILTER (WHERE concept IS NOT NULL), '') AS concepts, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE concept IS NULL), '') AS rest FROM a LEFT JOIN t USING (term) GROUP BY 1
+""")
+def label_cover(spark, d):
+    """Which passages and names the words of small parts cover as a whole, and what is left of the others."""
+    part, items = table(spark, d, "part"), table(spark, d, "benchmark")
+    words = part.where("p_size <= 10").select(F.explode(F.split("p_name", " ")).alias("term"), F.col("p_brand").alias("concept"))
+    labels = items.select(F.col("item_id").alias("id"), F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("parts")).union(part.select(F.col("p_partkey") + 1000000, F.split("p_name", " ")))
+    return covers.cover(labels, words).select("id", "covered", F.array_join("concepts", "|").alias("concepts"), F.array_join("rest", "|").alias("rest"))
