@@ -36,6 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.llm._common import arrow_batches, extreme, materialise, ship
 from scriptorium.llm._kernels import mix, word_hashes
@@ -212,7 +213,7 @@ def score(docs: DataFrame, known_words: int = KNOWN, frequent_words: int = FREQU
                     o = order[cuts[p] : cuts[p + 1]]
                     yield pa.RecordBatch.from_pylist([{"pid": p, "unit": unit, "docs": None, "blob": _pack(a[o], b[o], d[o], unknown)}], schema)
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     docs_type = pa.list_(pa.struct([("doc_id", id_type), ("n", pa.int64()), ("score", pa.float64())]))
     schema = pa.schema([("pid", pa.int32()), ("unit", pa.int64()), ("docs", docs_type), ("blob", pa.binary())])
     out_schema = pa.schema([("unit", pa.int64()), ("docs", docs_type), ("doc", pa.list_(pa.int32())), ("score", pa.list_(pa.float64())), ("ask_doc", pa.list_(pa.int32())), ("ask_word", pa.list_(pa.int64())), ("ask_sign", pa.list_(pa.int32()))])

@@ -381,6 +381,18 @@ def test_decontamination_finds_all_that_pass_the_checks(spark):
     assert all(r["lcs"] >= 0.5 and r["cosine"] >= 0.7 and r["doc_id"] % 20 == r["item_id"] for r in found if (r["doc_id"], r["item_id"]) not in want)
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "string"])
+def test_ids_of_any_type(spark, kind):
+    item = "the lantern keeper counts seven wooden bridges before dawn and writes every number down. eleven ships answer"
+    rows = docs(spark, [(1, item), (2, "clear water under an old mill"), (None, item)]).withColumn("doc_id", F.col("doc_id").cast(kind))
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    found = decontaminate.leaks(rows, bench)
+    assert dict(found.dtypes)["doc_id"] == kind and dict(found.dtypes)["item_id"] == kind
+    assert sorted(str(r["doc_id"]) for r in found.collect()) == sorted([str(rows.first()["doc_id"]), "None"])
+    scores = lm_score.score(rows)
+    assert dict(scores.dtypes)["doc_id"] == kind and scores.count() == 3
+
+
 def test_longest_common_subsequence():
     def by_table(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
