@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators import covers, passages, transducer
+from scriptorium.functions import rewrite
+from scriptorium.operators import covers, derivations, passages, transducer
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import parsers, sections
 
@@ -179,3 +181,28 @@ def label_cover(spark, d):
     words = part.where("p_size <= 10").select(F.explode(F.split("p_name", " ")).alias("term"), F.col("p_brand").alias("concept"))
     labels = items.select(F.col("item_id").alias("id"), F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("parts")).union(part.select(F.col("p_partkey") + 1000000, F.split("p_name", " ")))
     return covers.cover(labels, words).select("id", "covered", F.array_join("concepts", "|").alias("concepts"), F.array_join("rest", "|").alias("rest"))
+
+
+@query("derived_bundles", """
+WITH RECURSIVE b AS (SELECT p_brand AS brand, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, string_split(p_name, ' ') AS w, lower(p_type) AS kind, p_size % 7 = 0 AS own FROM part),
+r AS (SELECT brand, id, k, CASE WHEN own THEN list_append(w, kind) ELSE []::VARCHAR[] END AS items FROM b WHERE k = 1
+UNION ALL SELECT b.brand, b.id, b.k, CASE WHEN own THEN list_append(w, kind) WHEN len(r.items) = 0 THEN []::VARCHAR[] ELSE list_concat(list_filter(r.items, lambda x: x <> w[2]), [w[1]]) END FROM r JOIN b ON b.brand = r.brand AND b.k = r.k + 1)
+SELECT id, array_to_string(items, ' ') AS items FROM r
+""")
+def derived_bundles(spark, d):
+    """Bundles that are the one before them of their brand, without one word and with another."""
+    part = table(spark, d, "part")
+    before = F.lag("p_partkey").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    words, own = F.split("p_name", " "), F.col("p_size") % 7 == 0
+    blocks = part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("name"), before.alias("base"), F.array(F.get(words, F.lit(1))).alias("removed"), F.array(F.get(words, F.lit(0))).alias("added"), F.when(own, F.array_append(words, F.lower("p_type"))).alias("items"))
+    return derivations.resolve(blocks, "brand").select(F.col("pos").alias("id"), F.array_join("items", " ").alias("items"))
+
+
+PHRASES = {"the": "<the>", "there": "<there>", "other": "<other>", "er": "<er>", "ation": "<ation>", "ti": "<ti>", "e t": "<e t>", "a": "<a>", "und": "<und>", "unde": "<unde>"}
+
+
+@query("phrase_conversion", f"SELECT doc_id, md5(regexp_replace(text, '({'|'.join(sorted(PHRASES, key=len, reverse=True))})', '<\\1>', 'g')) AS digest, (length(regexp_replace(text, '({'|'.join(sorted(PHRASES, key=len, reverse=True))})', '<\\1>', 'g')) - length(text)) // 2 AS replaced FROM documents WHERE text IS NOT NULL")
+def phrase_conversion(spark, d):
+    """Texts rewritten by overlapping phrases: the longest first, from the left, in one pass."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    return rewrite.convert(docs, "text", list(PHRASES.items())).select("doc_id", F.md5("converted").alias("digest"), "replaced")

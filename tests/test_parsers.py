@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import covers, transducer
+from scriptorium.functions import rewrite
+from scriptorium.operators import bundles, covers, derivations, transducer
 from scriptorium.sources import dispatch, parsers
 from scriptorium.sources.parsers import BLOCKS, CLAUSES, Style
 
@@ -113,3 +114,43 @@ def test_covers_are_whole_or_reported(spark):
     words = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", "A2"), ("whole thing", "W"), (None, "N")], "term string, concept string")
     got = {r["id"]: (r["covered"], r["concepts"], r["rest"]) for r in covers.cover(labels, words).collect()}
     assert got == {1: (True, ["A", "A2"], []), 2: (False, ["A"], ["x", "y"]), 3: (False, [], []), 4: (False, [], []), 5: (False, [], ["c"]), 6: (True, ["W"], [])}
+
+
+def test_derivations_equal_the_sequential_fixpoint(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for g in range(6):
+        own = []
+        for k in range(30 if g else 200):
+            base = rng.randrange(-1, 30) if g % 2 else k - 1
+            root = rng.random() < 0.15 if g else k == 0
+            pick = lambda n: [rng.choice("abcdefgh") for _ in range(rng.randrange(n))]
+            own.append({"name": f"n{k}", "base": f"n{base}" if base >= 0 else None, "removed": pick(3), "added": pick(3), "items": [{"name": x, "dose": None, "note": None} for x in pick(5)] if root else []})
+        for k, b in enumerate(own):
+            rows.append((g, k, b["name"], b["base"], b["removed"], b["added"], [i["name"] for i in b["items"]]))
+        want |= {(g, b["name"]): [i["name"] for i in b["items"]] for b in bundles.resolve_derivations(own)}
+    df = spark.createDataFrame(rows, "g int, pos int, name string, base string, removed array<string>, added array<string>, items array<string>").repartition(3)
+    got = {(r["g"], r["name"]): r["items"] for r in derivations.resolve(df, "g").collect()}
+    assert got == want
+    assert sum(map(bool, got.values())) > 100
+
+
+def converted_by_force(text, table):
+    out, i, n = "", 0, 0
+    while i < len(text):
+        old = max((o for o in table if text.startswith(o, i)), key=len, default=None)
+        out, i, n = (out + table[old], i + len(old), n + 1) if old else (out + text[i], i + 1, n)
+    return out, n
+
+
+def test_conversion_takes_the_longest_phrase_from_the_left(spark):
+    rng = random.Random(4)
+    table = {"a": "A", "ab": "x", "abc": "", "bcd": "longer", "cda": "c", "dd": "d", "后": "後", "皇后": "皇后", "\U00020000": "y"}
+    texts = ["".join(rng.choices("abcd后皇\U00020000", k=rng.randrange(40))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "id int, text string, _t string")
+    got = {r["id"]: (r["converted"], r["replaced"]) for r in rewrite.convert(df, "text", list(table.items())).collect()}
+    assert got == {i: converted_by_force(t, table) if t is not None else (None, 0) for i, t in enumerate(texts)}
+    assert rewrite.replaced("abc", rewrite.automaton({})) == ("abc", 0)
+    for bad in ([("", "x")], [("a", "b"), ("a", "c")]):
+        with pytest.raises(ValueError):
+            rewrite.convert(df, "text", bad)
