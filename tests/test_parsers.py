@@ -1,14 +1,18 @@
 """Machines over lines and the parsers made of them, against sequential loops."""
 
+import hashlib
+import os
 import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rewrite
 from scriptorium.operators import bundles, covers, derivations, transducer
+from scriptorium.plans import catalog
 from scriptorium.sources import dispatch, parsers
 from scriptorium.sources.parsers import BLOCKS, CLAUSES, Style
 
@@ -154,3 +158,30 @@ def test_conversion_takes_the_longest_phrase_from_the_left(spark):
     for bad in ([("", "x")], [("a", "b"), ("a", "c")]):
         with pytest.raises(ValueError):
             rewrite.convert(df, "text", bad)
+
+
+def test_parsed_clauses_query_equals_a_loop(spark):
+    """The registered query on the smallest documents."""
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    heading, item, directions, aside = r"^([^.,;:!?]{1,39}?)(?: ?[(]([^)]*)[)])?$", r"[|#]", r"^[^.]*:", r"^[*]"
+    want = {}
+    for r in pq.read_table(f"{folder}/documents.parquet").to_pylist():
+        state, number, name, seen = "text", 0, None, {}
+        for line in r["text"].split("\n") if r["text"] is not None else ():
+            t = line.strip(" ")
+            kind = "blank" if not t else "heading" if re.search(heading, t) else "aside" if re.search(aside, t) else "directions" if re.search(directions, t) else "item" if re.search(item, t) else "plain"
+            state = CLAUSES.step(state, kind)
+            if kind == "heading":
+                name = re.search(heading, t)[1]
+            elif kind not in ("blank", "aside"):
+                if state == "text":
+                    number += 1
+                    want[r["doc_id"], number] = hashlib.md5(re.sub("^[0-9]+[.)]? ", "", t).strip(" ").encode()).hexdigest()
+                else:
+                    seen.setdefault(number, []).append(name)
+        for k, names in seen.items():
+            if k:
+                want[r["doc_id"], k] = (want[r["doc_id"], k], len(names), len(set(names)))
+    want = {k: v if isinstance(v, tuple) else (v, 0, 0) for k, v in want.items()}
+    got = {(r["doc_id"], r["number"]): (r["digest"], r["attached"], r["headings"]) for r in catalog.QUERIES["parsed_clauses"](spark, folder).collect()}
+    assert got == want
