@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from scriptorium.operators.joins import small
+from scriptorium.shipping import ship
 
 
 def numbered(lines: DataFrame, key: str, least: int = 12, most: int = 4000) -> DataFrame:
@@ -45,14 +50,48 @@ def blocks(lines: DataFrame, key: str, kinds: dict[str, Column], starts: str, fi
     return stated.groupBy(key, "block", "kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(body, "\n").alias("text"))
 
 
+#: Signs of titles that go to all tasks at once; each further block of them is one more pass over the texts.
+TITLE_BLOCK = 4_000_000
+
+
 def attach_by_title(texts: DataFrame, titles: DataFrame, patterns: list[str]) -> DataFrame:
-    """text_id, title_id of the texts (text_id, text) that hold a title (title_id, title) in one of the patterns, ``{}`` being the title."""
-    held = small(titles.where("trim(title) <> ''"))
-    found = F.lit(False)
-    for p in patterns:
-        before, after = p.split("{}")
-        found = found | F.contains(F.col("text"), F.concat(F.lit(before), F.col("title"), F.lit(after)))
-    return texts.join(held, found).select("text_id", "title_id").distinct()
+    """text_id, title_id of the texts (text_id, text) that hold a title (title_id, title) in one of the patterns, ``{}`` being the title.
+
+    An automaton over all titles in all patterns reads each text once; texts stay where they are."""
+    ship(texts.sparkSession)
+    asked = titles.where("trim(title) <> ''").distinct()
+    size = asked.agg(F.sum(F.char_length("title"))).first()[0] or 0
+    blocks = -(-size * len(patterns) // TITLE_BLOCK) or 1
+    dealt = asked.select("title_id", "title", F.pmod(F.xxhash64("title"), F.lit(blocks)).alias("block"))
+    kinds = [to_arrow_type(texts.schema["text_id"].dataType), to_arrow_type(titles.schema["title_id"].dataType)]
+    ddl = f"text_id {dict(texts.dtypes)['text_id']}, title_id {dict(titles.dtypes)['title_id']}"
+    out = None
+    for block in range(blocks):
+        rows = [(r["title_id"], r["title"]) for r in dealt.where(F.col("block") == block).collect()]
+        part = texts.select("text_id", "text").mapInArrow(_title_pass(rows, patterns, kinds), ddl)
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
+
+def _title_pass(titles: list[tuple], patterns: list[str], kinds: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, list] = {}
+        for key, title in titles:
+            for p in patterns:
+                words.setdefault(p.replace("{}", title), []).append(key)
+        found = ahocorasick.Automaton()
+        for w, keys in words.items():
+            found.add_word(w, keys)
+        if words:
+            found.make_automaton()
+        for b in batches:
+            own = []
+            for key, text in zip(b["text_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if text and words:
+                    own += [(key, k) for k in dict.fromkeys(k for _, keys in found.iter(text) for k in keys)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], kinds[i]) for i in range(2)], ["text_id", "title_id"])
+
+    return run
 
 
 def derivations(text: Column, patterns: list[str]) -> Column:

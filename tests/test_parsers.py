@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rewrite
-from scriptorium.operators import bundles, covers, derivations, transducer
+from scriptorium.operators import bundles, covers, derivations, passages, transducer
 from scriptorium.plans import catalog
 from scriptorium.sources import dispatch, parsers
 from scriptorium.sources.parsers import BLOCKS, CLAUSES, Style
@@ -185,3 +185,15 @@ def test_parsed_clauses_query_equals_a_loop(spark):
     want = {k: v if isinstance(v, tuple) else (v, 0, 0) for k, v in want.items()}
     got = {(r["doc_id"], r["number"]): (r["digest"], r["attached"], r["headings"]) for r in catalog.QUERIES["parsed_clauses"](spark, folder).collect()}
     assert got == want
+
+
+def test_titles_in_patterns_equal_a_scan(spark, monkeypatch):
+    rng = random.Random(5)
+    titles = [(k, "".join(rng.choices("ab c", k=rng.randrange(1, 4)))) for k in range(20)] + [(90, ""), (91, "  "), (92, None), (93, "ab"), (94, "ab")]
+    texts = [(k, "".join(rng.choices("abc .", k=rng.randrange(0, 25)))) for k in range(60)] + [(99, None)]
+    patterns = ["{} ", " {}", "a{}."]
+    monkeypatch.setattr(passages, "TITLE_BLOCK", 40)
+    got = passages.attach_by_title(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(titles, "title_id smallint, title string"), patterns)
+    want = {(i, k) for i, t in texts for k, n in titles if t and n and n.strip(" ") and any(p.replace("{}", n) in t for p in patterns)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
