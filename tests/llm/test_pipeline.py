@@ -14,7 +14,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "decontamination", "byte-level BPE"]
     assert {"pipeline", *registry.QUERIES} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
