@@ -171,18 +171,22 @@ def _aligned(windows: DataFrame, pieces: DataFrame, blocks: DataFrame) -> DataFr
                 floor = VARIANT if n < CLOSE else MISSING
                 if high <= low or not n:
                     continue
-                s = text.find(r["norm"], low, high)
-                d, e = 0, s + len(r["norm"])
-                if s < 0:
+                # A piece that stands in its window as it is may do so twice, and the chain chooses.
+                at, found = text.find(r["norm"], low, high), []
+                while at >= 0:
+                    found.append((0, at, at + len(r["norm"])))
+                    at = text.find(r["norm"], at + 1, high)
+                if not found:
                     d, s, e = (semi_global(r["norm"], text[low:high]) if wild else Pattern(needle).span(signs[low:high], int((1 / floor - 1) * n))) or (n, 0, 0)
                     if n <= d or e <= s or 1 - d / max(n, e - s) < floor:
                         continue
-                    s, e = s + low, e + low
-                # What is between two signs goes with the first.
-                to_b = lambda x, e=e: int(places[x]) if x < e else int(places[e - 1]) + 1
-                spans = [{"op": op, "a_start": int(own[a0]), "a_end": int(own[a1]), "b_start": to_b(b0), "b_end": to_b(b1)} for op, a0, a1, b0, b1 in segments(needle, signs[s:e], 0, s)]
-                at = block * STEP
-                rows.append((r["source"], r["witness"], r["ord"], s + at, e + at, d, n - d, int(places[s]), int(places[e - 1]) + 1, spans))
+                    found = [(d, s + low, e + low)]
+                for d, s, e in found:
+                    # What is between two signs goes with the first.
+                    to_b = lambda x, e=e: int(places[x]) if x < e else int(places[e - 1]) + 1
+                    spans = [{"op": op, "a_start": int(own[a0]), "a_end": int(own[a1]), "b_start": to_b(b0), "b_end": to_b(b1)} for op, a0, a1, b0, b1 in segments(needle, signs[s:e], 0, s)]
+                    first = block * STEP
+                    rows.append((r["source"], r["witness"], r["ord"], s + first, e + first, d, n - d, int(places[s]), int(places[e - 1]) + 1, spans))
         return pa.Table.from_batches([_batch(rows, [*kinds, *[pa.int64()] * 7, SPANS], ["source", "witness", "ord", "start", "end", "distance", "weight", "b_start", "b_end", "spans"])])
 
     other = blocks.select(F.col("source").alias("s"), F.col("witness").alias("w"), F.col("block").alias("k"), F.col("norm").alias("text"), F.col("places").alias("at"))
