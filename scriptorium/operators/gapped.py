@@ -198,9 +198,11 @@ def _aligned(windows: DataFrame, pieces: DataFrame, blocks: DataFrame) -> DataFr
 
 
 def _chained(places: DataFrame) -> DataFrame:
-    """Those of places that form the heaviest chain; ends may reach a little into the next piece."""
-    light = places.select("source", "witness", F.col("ord").alias("pos"), "start", F.greatest(F.col("start") + 1, F.col("end") - F.least(F.lit(8), F.floor(F.col("weight") / 4))).alias("end"), "weight", F.col("end").alias("own"), "distance")
-    kept = choose(light, ["source", "witness"]).select("source", "witness", F.col("pos").alias("ord"), "start", F.col("own").alias("end"), "distance")
+    """Those of places that form the heaviest chain; a place that isn't exact may reach a little into its neighbours."""
+    slack = F.when(F.col("distance") == 0, 0).otherwise(F.least(F.lit(8), F.floor(F.col("weight") / 4)))
+    low = F.col("start") + slack
+    light = places.select("source", "witness", F.col("ord").alias("pos"), low.alias("start"), F.greatest(low + 1, F.col("end") - slack).alias("end"), "weight", F.col("start").alias("own_start"), F.col("end").alias("own_end"), "distance")
+    kept = choose(light, ["source", "witness"]).select("source", "witness", F.col("pos").alias("ord"), F.col("own_start").alias("start"), F.col("own_end").alias("end"), "distance")
     return places.dropDuplicates(["source", "witness", "ord", "start", "end", "distance"]).join(kept, ["source", "witness", "ord", "start", "end", "distance"], "left_semi")
 
 

@@ -263,9 +263,10 @@ def collated_by_force(passages, witness, form):
     rows = []
     for i, (_, _, piece, _) in enumerate(pieces):
         n = len(piece.replace(LOOSE, ""))
-        d, s, e = slow_span(piece, norm)
+        d, s, e = locating.Pattern(offsets.codes(piece)).span(offsets.codes(norm), n) or (n, 0, 0)
         if e > s and n > d and 1 - d / max(n, e - s) >= (0.8 if n < gapped.CLOSE else 0.5):
-            rows.append((i, s, max(s + 1, e - min(8, (n - d) // 4)), n - d, e, d))
+            slack = min(8, (n - d) // 4) if d else 0
+            rows.append((i, s + slack, max(s + slack + 1, e - slack), n - d, e, d, s))
     best = []
     for i, r in enumerate(rows):
         before = max(((best[j][0], -j) for j in range(i) if rows[j][0] < r[0] and rows[j][2] <= r[1]), default=(0, 1))
@@ -282,14 +283,14 @@ def collated_by_force(passages, witness, form):
         if not placed or len(placed) < len(own):
             out[pos] = None
             continue
-        distance, length = sum(c[5] for c in placed), sum(c[4] - c[1] for c in placed)
+        distance, length = sum(c[5] for c in placed), sum(c[4] - c[6] for c in placed)
         for (p, closed, c), (q, _, d) in zip(own, own[1:], strict=False):
-            between = max(0, d[1] - c[4])
-            good = min(1 - c[5] / max(len(p), c[4] - c[1]), 1 - d[5] / max(len(q), d[4] - d[1])) >= 0.8
+            between = max(0, d[6] - c[4])
+            good = min(1 - c[5] / max(len(p), c[4] - c[6]), 1 - d[5] / max(len(q), d[4] - d[6])) >= 0.8
             if not (closed and good and between >= alignment.STRUCTURAL):
                 distance, length = distance + between, length + between
         n = sum(len(p) for p, _, _ in own)
-        out[pos] = (round(1 - distance / max(n, length), 4), int(places[placed[0][1]]), int(places[max(c[4] for c in placed) - 1]) + 1)
+        out[pos] = (round(1 - distance / max(n, length), 4), int(places[placed[0][6]]), int(places[max(c[4] for c in placed) - 1]) + 1)
     return out
 
 
