@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder that the session names in ``spark.checkpoint.dir``.
+def _folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, that the session names in ``spark.checkpoint.dir``.
 
     A temporary folder is taken only where it names none and all runs on this machine."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith(("local[", "local ")) and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="scriptorium-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed to the session's folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for tables, beside the checkpoints."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import offsets, text
-from scriptorium.operators import gapped, graph, linkage, locating, search
+from scriptorium.operators import gapped, graph, linkage, locating, postings, search
+from scriptorium.operators.lineage import new_folder
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import sections
 
@@ -191,6 +192,25 @@ def full_text_search(spark, d):
     return search.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["thing", "queaux", "idiot"], 40)
 
 
+@query("stored_search", BM25)
+def stored_search(spark, d):
+    """The forty best documents by a stored index of posting blocks (a top-k report)."""
+    index = postings.build(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), new_folder(spark, "postings"))
+    return index.search(["thing", "queaux", "idiot"], 40)
+
+
+# One edit, by signs: equal lengths with one other sign, or one word is the other without a sign.
+ONE_EDIT = "(length(x) = length(term) AND len(list_filter(range(1, length(term) + 1), lambda i: x[i] <> term[i])) <= 1) OR (length(x) = length(term) + 1 AND len(list_filter(range(1, length(x) + 1), lambda i: x[1:i - 1] || x[i + 1:] = term)) > 0) OR (length(x) = length(term) - 1 AND len(list_filter(range(1, length(term) + 1), lambda i: term[1:i - 1] || term[i + 1:] = x)) > 0)"
+FUZZY = BM25.replace("starts_with(x, term)", f"starts_with(x, term) OR {ONE_EDIT}").replace("('thing'), ('queaux'), ('idiot')", "('other'), ('haus'), ('monde')")
+
+
+@query("stored_fuzzy_search", FUZZY)
+def stored_fuzzy_search(spark, d):
+    """The forty best documents for prefixes or words with one edit, by a stored index (a top-k report)."""
+    index = postings.build(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), new_folder(spark, "postings"))
+    return index.search(["other", "haus", "monde"], 40, fuzzy=True)
+
+
 @query("search_documents", "SELECT 'part' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, p_brand || ' ' || p_type AS text FROM part UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name, s_name FROM supplier UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment FROM customer")
 def search_documents(spark, d):
     """One table of what can be searched."""
