@@ -13,14 +13,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from scriptorium.shipping import ship
 
 
-def numbered(lines: DataFrame, key: str, least: int = 12, most: int = 4000) -> DataFrame:
-    """key, number, passage of lines (key, pos, line).
+def numbered(lines: DataFrame, key: str, least: int = 12, most: int | None = None) -> DataFrame:
+    """key, number, passage, whole of lines (key, pos, line).
 
     Blank lines have no number; short passages go after numbering, so that numbers
-    say where a passage stands; long ones are cut at ``most`` signs, as the model of the data has it."""
+    say where a passage stands. If ``most`` is given, longer ones are cut there, and ``whole`` is false for them."""
     body = lines.withColumn("passage", F.trim("line")).where("passage <> ''")
     number = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return body.withColumn("number", number).where(F.char_length("passage") >= least).select(key, "number", F.substring("passage", 1, most).alias("passage"))
+    kept = body.withColumn("number", number).where(F.char_length("passage") >= least)
+    if most is None:
+        return kept.select(key, "number", "passage", F.lit(True).alias("whole"))
+    return kept.select(key, "number", F.substring("passage", 1, most).alias("passage"), (F.char_length("passage") <= most).alias("whole"))
 
 
 def heading(line: Column, marks: str, lost: str) -> Column:

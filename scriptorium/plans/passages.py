@@ -18,9 +18,9 @@ def _lines(spark, d):
     return sections.lines(docs, "doc_id", "text")
 
 
-@query("numbered_passages", f"WITH {LINES}, n AS (SELECT doc_id, trim(line, ' ') AS p, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM l WHERE trim(line, ' ') <> '') SELECT doc_id, number, md5(substr(p, 1, 4000)) AS digest FROM n WHERE length(p) >= 12")
+@query("numbered_passages", f"WITH {LINES}, n AS (SELECT doc_id, trim(line, ' ') AS p, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM l WHERE trim(line, ' ') <> '') SELECT doc_id, number, md5(p) AS digest FROM n WHERE length(p) >= 12")
 def numbered_passages(spark, d):
-    """Numbered passages of the documents."""
+    """Numbered passages of the documents, whole."""
     return passages.numbered(_lines(spark, d), "doc_id").select("doc_id", "number", F.md5("passage").alias("digest"))
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import bundles, collate, crosscheck, evidence, graph, joins, linkage, revision, search
+from scriptorium.operators import bundles, collate, crosscheck, evidence, graph, joins, linkage, passages, revision, search
 
 
 def test_semi_global_alignment():
@@ -195,3 +195,11 @@ def test_quotes_are_verified_in_blocks(spark, monkeypatch):
     quotes = spark.createDataFrame([(1, "x", ["處處聞啼鳥夜來風雨聲"]), (2, "y", ["黃河入海流欲窮千里目"]), (3, "x", ["全無此語之文字在其中也"]), (4, "x", [])], "id long, own string, segments array<string>")
     got = {r["id"]: (r["ratio"], r["witness"]) for r in crosscheck.verify_quotes(quotes, spark.createDataFrame([("x", text), ("y", text[20:])], "witness string, text string")).collect()}
     assert got[1] == (1.0, "x") and got[2] == (1.0, "y") and got[3][0] < 0.8 and got[4][0] == 0
+
+
+def test_numbered_passages_are_whole_unless_cut(spark):
+    lines = spark.createDataFrame([(1, 0, "x" * 9000), (1, 1, "  "), (1, 2, "short"), (1, 3, " twelve signs ")], "id int, pos int, line string")
+    got = {r["number"]: (len(r["passage"]), r["whole"]) for r in passages.numbered(lines, "id").collect()}
+    assert got == {1: (9000, True), 3: (12, True)}
+    cut = {r["number"]: (len(r["passage"]), r["whole"]) for r in passages.numbered(lines, "id", most=4000).collect()}
+    assert cut == {1: (4000, False), 3: (12, True)}
