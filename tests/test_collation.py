@@ -347,3 +347,13 @@ def test_pieces_close_at_sentence_ends():
     long = "x" * 1500 + "."
     assert [z - a for a, z, _ in gapped.piece_bounds(long, np.arange(1500))] == [600, 600, 300]
     assert gapped.piece_bounds("..", np.zeros(0, dtype=np.int64)) == []
+
+
+def test_collation_broadcasts_no_table_of_pieces_or_places(spark):
+    passages = spark.createDataFrame([(1, 1, "a first sentence of some length."), (1, 2, "and a second one that is longer.")], "source int, pos int, text string")
+    witnesses = spark.createDataFrame([(1, "w", "a first sentence of some length. and a second one that is longer.")], "source int, witness string, text string")
+    out = gapped.collate(passages, witnesses)
+    places = spark.createDataFrame([(1, 1, 0, 5, 5), (1, 2, 5, 9, 4)], "source int, pos int, start int, end int, weight int")
+    for df in (out, chains.stretches(places, ["source"])):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["pos"], r["verdict"]) for r in out.orderBy("pos").collect()] == [(1, "agree"), (2, "agree")]
