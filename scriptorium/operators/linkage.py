@@ -6,10 +6,14 @@ pair of a similarity above zero, and never from a product of the two sides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import grams
+from scriptorium.operators import meetings
 from scriptorium.operators.joins import small
 from scriptorium.operators.lineage import cut
 
@@ -55,19 +59,26 @@ def one_to_one(pairs: DataFrame, group: str, threshold: float) -> DataFrame:
 
 def bags(rows: DataFrame, bag: str, item: str, dose: str, order: list[str]) -> DataFrame:
     """bag, size, and item to dose of each bag; the last of a repeated item counts."""
-    one = rows.groupBy(bag, item).agg(F.max_by(dose, F.struct(*order)).alias("dose"))
+    # By bundle first, so that its items need no other shuffle to come together.
+    one = rows.select(bag, item, dose, *[c for c in order if c not in (bag, item, dose)]).repartition(bag).groupBy(bag, item).agg(F.max_by(dose, F.struct(*order)).alias("dose"))
     return one.withColumnRenamed(bag, "bag").withColumnRenamed(item, "item")
 
 
-def shared_items(one: DataFrame) -> DataFrame:
-    """(a, b, shared, changed, na, nb) of all pairs a < b of bags that share an item.
+def shared_items(one: DataFrame, keep: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """(a, b, shared, changed, closeness, na, nb) of all pairs a < b of bags that share an item.
+
+    ``changed`` counts shared items whose doses differ. ``keep`` (of arrays na, nb, shared, changed) says which pairs are wanted."""
+    return meetings.pairs(one, keep)
+
+
+def alike(least: float) -> Callable[..., np.ndarray]:
+    """Keeps pairs with a Jaccard similarity of at least so much."""
+    return lambda na, nb, shared, changed: shared / (na + nb - shared) >= least
+
 
-    ``changed`` counts shared items whose doses differ."""
-    sizes = one.groupBy("bag").agg(F.count(F.lit(1)).alias("n"))
-    x, y = (one.select(F.col("bag").alias(k), "item", F.col("dose").alias(f"d{k}")) for k in "ab")
-    both = x.join(y, "item").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.when(F.col("da").eqNullSafe(F.col("db")), 0).otherwise(1)).alias("changed"), F.sum(F.when((F.col("da") > 0) & (F.col("db") > 0), F.least("da", "db") / F.greatest("da", "db")).otherwise(0.0)).alias("closeness"))
-    na, nb = (sizes.select(F.col("bag").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    return both.join(na, "a").join(nb, "b")
+def little_changed(most: int = 5) -> Callable[..., np.ndarray]:
+    """Keeps pairs with one to so many changes."""
+    return lambda na, nb, shared, changed: ((changes := na + nb - 2 * shared + changed) > 0) & (changes <= most)
 
 
 def composition_diff(pairs: DataFrame, most: int = 5, least_jaccard: float = 0.2, least_shared: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import numerals, rules, text
-from scriptorium.operators import crosscheck, linkage
+from scriptorium.operators import crosscheck, linkage, meetings
 from scriptorium.plans.registry import query, table
 from scriptorium.streaming.incremental import windowed_counts
 
@@ -145,10 +145,7 @@ SELECT bag, arg_max(other, (score, -other)) AS other, max(score) AS score FROM s
 def dose_aware_best(spark, d):
     """Each bundle's nearest by items and doses."""
     one = linkage.bags(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", "l_quantity", ["l_linenumber", "l_quantity"])
-    p = linkage.jaccard_pairs(linkage.shared_items(one), 0.0).select("a", "b", F.round("dose_score", 6).alias("score"))
-    both = p.select(F.col("a").alias("bag"), F.col("b").alias("other"), "score").union(p.select("b", "a", "score"))
-    best = both.groupBy("bag").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("m"))
-    return best.select("bag", (-F.col("m.o")).alias("other"), F.col("m.score").alias("score"))
+    return meetings.nearest(one)
 
 
 @query("seeded_quiz")
