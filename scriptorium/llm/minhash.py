@@ -266,15 +266,36 @@ def _by_tile(tiles: DataFrame, compare, kind: str) -> DataFrame:
 
 
 def _link_tiles(close: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v) that join two roots each; close is what ``_close`` gives, texts has (node, text)."""
+    """(u, v), roots that belong together; close is what ``_close`` gives, texts has (node, text).
+
+    Roots that a tile joins all go with the least of them, so what tiles and buckets have found alike is one row."""
 
     def compare(group):
-        u, v = join_roots(group["side"].to_numpy(), group["node"].to_numpy(), group["root"].to_numpy(), shingle_sets(group["text"].to_pylist(), width), percent)
+        node, root = group["node"].to_numpy(), group["root"].to_numpy()
+        found = join_roots(group["side"].to_numpy(), node, root, shingle_sets(group["text"].to_pylist(), width), percent)
+        u, v = stars(dict(zip(node.tolist(), root.tolist(), strict=True)), *found)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return _by_tile(close.join(texts, "node"), compare, "u long, v long")
 
 
+def stars(root: dict[int, int], u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+    """The roots that links (u, v) join, each but the least with the least of all that are joined."""
+    least: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := least.setdefault(x, x)) != x:
+            least[x] = least[y]
+            x = y
+        return x
+
+    for a, b in zip(u, v, strict=True):
+        low, high = sorted((top(root[a]), top(root[b])))
+        least[high] = low
+    ends = [x for x in least if top(x) != x]
+    return [top(x) for x in ends], ends
+
+
 def join_roots(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
     """Links between members of side 1 and others of different roots, as few as join all that can be joined; sets are held against each other through an index of shingles."""
     left, right = np.flatnonzero(side == 1), np.flatnonzero(side != 1)
@@ -329,12 +350,16 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     tiles = _tiles(members.select("key", "band", "node"), rooted(nodes.select("node", "bytes")), nodes.select("node", "sig", "marks"))
     close = materialise(_close(tiles, percent), "close")
-    more = materialise(_link_tiles(close, texts, width, percent), "more-links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    more = materialise(_link_tiles(close, texts, width, percent).distinct(), "more-links")
 
     owned = rooted(classes.select("node", "cls", "rep", "copies"))
     tops = owned.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_size"))
+    if not more.isEmpty():
+        # Roots that the tiles have joined: one row of each, so no node's row moves again.
+        joined = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        placed = materialise(tops.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root")), "tops")
+        whole = placed.groupBy("top").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("_roots"))
+        tops = join_spread(placed.select("root", "top", "_size"), whole, "top", "_roots", placed.count(), ["root"]).select("root", "component_id", "_size")
     belongs = materialise(join_spread(owned, tops, "root", "_size", classes.count(), ["node"]).select("cls", "component_id", "copies"), "belongs")
     full = join_spread(rows.where("cls IS NOT NULL").select("row", "doc_id", "at", "n", "cls"), belongs, "cls", "copies", rows.count(), ["row"])
     bare = rows.where("cls IS NULL").select("row", "doc_id", "at", "n", F.col("doc_id").alias("component_id"))

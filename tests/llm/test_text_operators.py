@@ -643,3 +643,11 @@ def test_long_licences(spark):
     rows += [(10, "My own terms: do as you like.")]
     got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs(spark, rows), {"own": ["my own terms - do as you like"]}).collect()}
     assert got == {**dict(enumerate(texts)), 10: "own"}
+
+
+def test_tiles_that_join_the_same_roots_give_the_same_rows():
+    """However the links of a tile run, what comes out is each root with the least."""
+    root = {10: 1, 11: 2, 12: 3, 13: 1, 14: 4, 20: 8, 21: 9}
+    want = {(1, 2), (1, 3), (1, 4), (8, 9)}
+    for u, v in (([10, 11, 12, 20], [11, 12, 14, 21]), ([14, 13, 21, 14], [11, 12, 20, 10])):
+        assert set(zip(*minhash.stars(root, u, v), strict=True)) == want
