@@ -7,6 +7,8 @@ combine before the shuffle, rather than windows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
+#: Rows of a table in a part, where parts are many and where they are few.
+PART_ROWS, LEAST_ROWS = 500_000, 20_000
+
+
+def parts(table: DataFrame) -> int:
+    """In how many parts the rows of a table are to be dealt out, so that a task's memory doesn't grow with the table.
+
+    Parts that Spark chooses are joined by their packed size, of which the rows' memory may be many times; a number that is given holds."""
+    rows = table.count()
+    few = min(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / LEAST_ROWS))
+    return max(1, few, math.ceil(rows / PART_ROWS))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if it has at most so many rows and, by its values as text, bytes; else df as it is."""
     width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in df.columns), F.lit(16))
