@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import numerals, rules, text
-from scriptorium.operators import crosscheck, linkage, meetings
+from scriptorium.operators import crosscheck, joins, linkage, meetings
 from scriptorium.plans.registry import query, table
 from scriptorium.streaming.incremental import windowed_counts
 
@@ -31,10 +31,15 @@ def top_by_group(spark, d):
 @query("tag_rates", "WITH b AS (SELECT l_partkey AS item, l_orderkey, o_orderpriority AS tag FROM lineitem JOIN orders ON o_orderkey = l_orderkey), n AS (SELECT item, count(DISTINCT l_orderkey) AS n FROM b GROUP BY 1) SELECT b.item, tag, round(count(DISTINCT l_orderkey) / greatest(any_value(n), 1), 6) AS rate FROM b JOIN n ON n.item = b.item GROUP BY 1, 2")
 def tag_rates(spark, d):
     """How often a tag goes with an item, over the item's distinct passages."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("tag"))
-    b = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), "l_orderkey").distinct().join(o, "l_orderkey")
-    n = b.groupBy("item").agg(F.countDistinct("l_orderkey").alias("n"))
-    return b.groupBy("item", "tag").agg(F.count(F.lit(1)).alias("k")).join(n, "item").select("item", "tag", F.round(F.col("k") / F.greatest("n", F.lit(1)), 6).alias("rate"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"), "l_orderkey").where("item IS NOT NULL")
+    many = joins.parts(lines)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.struct(F.col("o_orderpriority").alias("tag")).alias("t"))
+    tags = o.repartition(many, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("t").alias("tags"))
+    b = lines.repartition(many, "l_orderkey").distinct().join(tags.hint("merge"), "l_orderkey").select("item", F.posexplode("tags").alias("at", "t"))
+    # A passage counts for its item once, at its first tag, so the item's passages are the sum over its tags.
+    per = b.repartition(many, "item").groupBy("item", F.col("t.tag").alias("tag")).agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("at") == 0, 1)).alias("firsts"))
+    n = F.sum("firsts").over(Window.partitionBy("item"))
+    return per.withColumn("n", n).select("item", "tag", F.round(F.col("k") / F.greatest("n", F.lit(1)), 6).alias("rate"))
 
 
 @query("incidence_matrix", "WITH i AS (SELECT l_partkey AS item FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15), s AS (SELECT l_suppkey AS source FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 15) SELECT l_partkey AS item, l_suppkey AS source, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT item FROM i) AND l_suppkey IN (SELECT source FROM s) GROUP BY 1, 2")
