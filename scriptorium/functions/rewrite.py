@@ -12,7 +12,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.shipping import ship
+from scriptorium.shipping import ship, small_batches
 
 #: Signs of a table, at most; it goes to all tasks.
 MOST = 8_000_000
@@ -58,6 +58,7 @@ def convert(df: DataFrame, text: str, phrases: list[tuple[str, str]], into: str
     if sum(len(old) + len(new) for old, new in table.items()) > MOST:
         raise ValueError(f"the table has more than {MOST} signs")
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     held = [f"_c{i}" for i in range(len(df.columns))]
     at = df.columns.index(text)
 

@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from scriptorium.operators import joins
+from scriptorium.operators import joins, linkage
 from scriptorium.plans import catalog
 
 
@@ -50,3 +50,33 @@ def test_related_rows_shuffles_no_pair(spark, tables):
     found = plan(df)
     assert "Exchange" in found and "Exchange" not in found[: found.index("Generate explode")]
     same(df, tables, "related_rows")
+
+
+@pytest.mark.parametrize("name", ["phrase_conversion", "offset_maps", "vocabulary_mentions", "dice_best_match"])
+def test_python_gets_small_batches(spark, name):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_grams_are_held_against_each_other_in_place(spark):
+    texts = ["", "a", "ab", "abc", "abcabc", "größe 𝔞bc", "𝔞bcd", "a\nb c", "no part of it", None]
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    right = spark.createDataFrame([(100 - i, t) for i, t in enumerate([*texts, "abcd", "abcd"])], "id long, text string").repartition(3)
+
+    def grams(t):
+        return {t[i : i + 3] for i in range(len(t) - 2)} or {t}
+
+    want = {}
+    for i, x in enumerate(texts):
+        for k, y in enumerate([*texts, "abcd", "abcd"]):
+            if x is not None and y is not None and (both := len(grams(x) & grams(y))):
+                want[i, 100 - k] = 2 * both / (len(grams(x)) + len(grams(y)))
+    found = linkage.dice_pairs(left, right)
+    assert "Generate" not in plan(found) and "Exchange hashpartitioning" not in plan(found)
+    assert {(r["left_id"], r["right_id"]): r["dice"] for r in found.collect()} == want
+    assert {(r[0], r[1]) for r in linkage.dice_pairs(left, right, least=0.5).collect()} == {p for p, d in want.items() if d >= 0.5}
+    best = {r["left_id"]: r["right_id"] for r in linkage.best_match(left, linkage.dice_pairs(left, right, best=True), 0.0).collect()}
+    assert best == {i: min(((-round(d, 3), k) for (j, k), d in want.items() if j == i), default=(0, None))[1] for i in range(len(texts))}
