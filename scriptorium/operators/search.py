@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.shipping import ship
+from scriptorium.shipping import ship, small_batches
 
 K1, B = 1.2, 0.75
 
@@ -52,7 +53,9 @@ def longest_matches(text: str, automaton) -> list[tuple[int, int, str]]:
 def annotate(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """id, mentions: array of (start, end, surface, term) of a controlled vocabulary (surface, term), a stated list."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     table = dict(terms)
+    names = ["start", "end", "surface", "term"]
 
     def run(batches):
         import ahocorasick
@@ -62,11 +65,15 @@ def annotate(docs: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
             machine.add_word(surface, surface)
         machine.make_automaton()
         for b in batches:
-            found = [[{"start": a, "end": z, "surface": s, "term": table[s]} for a, z, s in longest_matches(t or "", machine)] for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "mentions": found})
+            found = [longest_matches(t or "", machine) for t in b["text"].to_pylist()]
+            flat = [m for own in found for m in own]
+            surfaces = [m[2] for m in flat]
+            columns = [pa.array([m[0] for m in flat], pa.int32()), pa.array([m[1] for m in flat], pa.int32()), pa.array(surfaces, pa.string()), pa.array([table[x] for x in surfaces], pa.string())]
+            ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+            yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, names))], ["id", "mentions"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.select("id", "text").mapInPandas(run, f"id {kind}, mentions array<struct<start:int,`end`:int,surface:string,term:string>>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, mentions array<struct<start:int,`end`:int,surface:string,term:string>>")
 
 
 def search_documents(parts: dict[str, DataFrame]) -> DataFrame:
