@@ -6,27 +6,100 @@ pair of a similarity above zero, and never from a product of the two sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from scriptorium.functions.text import grams
+from scriptorium.functions.offsets import codes
 from scriptorium.operators import meetings
-from scriptorium.operators.joins import small
 from scriptorium.operators.lineage import cut
-
-
-def dice_pairs(left: DataFrame, right: DataFrame, n: int = 3) -> DataFrame:
-    """(left_id, right_id, dice) of all pairs that share a gram; inputs have (id, text)."""
-    a = left.select(F.col("id").alias("left_id"), grams(F.col("text"), n).alias("g"))
-    b = right.select(F.col("id").alias("right_id"), grams(F.col("text"), n).alias("g"))
-    a, b = (x.withColumn("size", F.size("g")) for x in (a, b))
-    la = a.select("left_id", F.col("size").alias("na"), F.explode("g").alias("gram"))
-    lb = b.select("right_id", F.col("size").alias("nb"), F.explode("g").alias("gram"))
-    both = lb.join(small(la), "gram").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.select("left_id", "right_id", (2 * F.col("both") / (F.col("na") + F.col("nb"))).alias("dice"))
+from scriptorium.shipping import ship, small_batches
+
+#: Signs of left texts that go to all tasks at once.
+BLOCK = 4_000_000
+
+
+def dice_pairs(left: DataFrame, right: DataFrame, n: int = 3, least: float = 0.0, best: bool = False) -> DataFrame:
+    """(left_id, right_id, dice) of all pairs that share a gram; inputs have (id, text), and ids are keys.
+
+    Texts of right stay where they are, and are held against all of left at hand, in blocks of ``BLOCK`` signs; each
+    further block is one more pass. Only pairs with a dice of ``least`` or more come out; with ``best``, of each
+    task and left row just the pair with the greatest dice to three digits, the least right_id of equals."""
+    if not 1 <= n <= 3:
+        raise ValueError("grams have one to three signs")
+    spark = right.sparkSession
+    ship(spark)
+    small_batches(spark)
+    kinds = [dict(x.dtypes)["id"] for x in (left, right)]
+    kind = to_arrow_type(left.schema["id"].dataType)
+    size = left.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    blocks = -(-size // BLOCK) or 1
+    dealt = left.where("text IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"))
+    hays = right.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text")
+    out = None
+    for block in range(blocks):
+        rows = dealt.where(F.col("block") == block).collect()
+        part = hays.mapInArrow(_dice_pass([r["id"] for r in rows], [r["text"] for r in rows], kind, n, least, best), f"left_id {kinds[0]}, right_id {kinds[1]}, dice double")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def gram_codes(text: str, n: int) -> np.ndarray:
+    """The set of a text's n-grams as numbers, 21 bits a sign; a shorter text is its own and only gram, the empty one included."""
+    signs = codes(text).astype(np.uint64) + np.uint64(1)
+    width = min(n, len(signs))
+    out = np.zeros(len(signs) - width + 1, dtype=np.uint64)
+    for j in range(width):
+        out = out << np.uint64(21) | signs[j : j + len(out)]
+    return np.unique(out)
+
+
+def _dice_pass(ids: list, texts: list[str], kind: pa.DataType, n: int, least: float, best: bool):
+    names = ["left_id", "right_id", "dice"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [gram_codes(t, n) for t in texts]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        owners = np.repeat(np.arange(len(sets)), sizes)[order]
+        known, first = np.unique(flat[order], return_index=True)
+        first = np.append(first, len(flat))
+        keys = pa.array(ids, kind)
+        top, held, exact = np.full(len(sets), -1, dtype=np.int64), [None] * len(sets), np.zeros(len(sets))
+        for b in batches:
+            lefts, rights, dices = [], [], []
+            for row, (other, text) in enumerate(zip(b["id"].to_pylist(), b["text"].to_pylist(), strict=True)):
+                own = gram_codes(text, n)
+                at = np.searchsorted(known, own)
+                at = at[known[np.minimum(at, len(known) - 1)] == own] if len(known) else at[:0]
+                times = first[at + 1] - first[at]
+                both = np.bincount(owners[np.repeat(first[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())], minlength=len(sets))
+                met = np.flatnonzero(both)
+                dice = 2 * both[met] / (sizes[met] + len(own))
+                wide = dice >= least
+                met, dice = met[wide], dice[wide]
+                if not best:
+                    lefts.append(met)
+                    rights.append(np.full(len(met), row))
+                    dices.append(dice)
+                    continue
+                score = meetings.rounded(dice, 3)
+                for k in np.flatnonzero(score >= top[met]).tolist():
+                    i = int(met[k])
+                    if score[k] > top[i] or other < held[i]:
+                        top[i], held[i], exact[i] = score[k], other, dice[k]
+            if lefts:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(lefts))), b["id"].take(pa.array(np.concatenate(rights))), pa.array(np.concatenate(dices))], names)
+        if best and (top >= 0).any():
+            found = np.flatnonzero(top >= 0)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(found)), pa.array([held[i] for i in found.tolist()], b["id"].type), pa.array(exact[found])], names)
+
+    return run
 
 
 def best_match(left: DataFrame, pairs: DataFrame, threshold: float, bonus: Column | None = None) -> DataFrame:
