@@ -172,6 +172,29 @@ def jaccard_pairs(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "shared", j.alias("jaccard"), (j * F.col("closeness") / F.col("shared")).alias("dose_score")).where(F.col("jaccard") >= least)
 
 
+def similar(rows: DataFrame, least: float, parts: int) -> DataFrame:
+    """(a, b), a < b, of the bags of rows (bag, item) with a Jaccard similarity of ``least`` or more, through an index of pairs of items.
+
+    Bags whose sizes ask for two shared items or more meet at each two that they share, which few others have, and are then
+    compared in full. Only bags so small that one shared item does are paired at single items, by their sizes alone. An item
+    that is null counts in its bag's size only."""
+    own = rows.where("bag IS NOT NULL").repartition(parts, "bag").groupBy("bag").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("int")).alias("none"))
+    held = cut(own.select("bag", "items", (F.size("items") + F.col("none")).alias("n")))
+    # shared / (na + nb - shared) >= least: with one shared item it holds for sizes that add up to this at most.
+    alone = int(1 + 1 / least + 1e-9)
+    single = held.where(F.col("n") < alone).select("bag", "n", F.explode("items").alias("item")).repartition(parts, "item")
+    x, y = (single.select("item", F.col("bag").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    by_one = x.join(y, "item").where((F.col("a") < F.col("b")) & (F.col("na") + F.col("nb") <= alone)).select("a", "b")
+    two = F.flatten(F.transform("items", lambda p, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    double = held.select("bag", "n", F.explode(two).alias("k")).select("bag", "n", "k.p", "k.q").repartition(parts, "p", "q")
+    x, y = (double.select("p", "q", F.col("bag").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    by_two = x.join(y, ["p", "q"]).where((F.col("a") < F.col("b")) & (F.col("na") + F.col("nb") > alone)).select("a", "b").distinct()
+    sides = {k: held.select(F.col("bag").alias(k), F.col("items").alias(f"i{k}"), F.col("n").alias(f"n{k}")) for k in "ab"}
+    shared = F.size(F.array_intersect("ia", "ib"))
+    alike = by_two.join(sides["a"], "a").join(sides["b"], "b").where(shared / (F.col("na") + F.col("nb") - shared) >= least)
+    return by_one.union(alike.select("a", "b")).distinct()
+
+
 def leader_clusters(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     """group, leader, id: in the order of ids each free one leads and takes its free partners; clusters of two or more.
 

@@ -1,11 +1,12 @@
 """Queries whose tasks must not grow with their tables: parts by the rows, and rows that aren't multiplied before a shuffle."""
 
+import random
 import re
 
 import duckdb
 import pytest
 
-from scriptorium.operators import joins, linkage
+from scriptorium.operators import joins, linkage, postings, search
 from scriptorium.plans import catalog
 
 
@@ -80,3 +81,30 @@ def test_grams_are_held_against_each_other_in_place(spark):
     assert {(r[0], r[1]) for r in linkage.dice_pairs(left, right, least=0.5).collect()} == {p for p, d in want.items() if d >= 0.5}
     best = {r["left_id"]: r["right_id"] for r in linkage.best_match(left, linkage.dice_pairs(left, right, best=True), 0.0).collect()}
     assert best == {i: min(((-round(d, 3), k) for (j, k), d in want.items() if j == i), default=(0, None))[1] for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("least", [0.2, 0.25, 0.5, 1.0])
+def test_similar_bags_meet_at_pairs_of_items(spark, least):
+    pick = random.Random(3)
+    rows = [(b, i) for b in range(80) for i in pick.sample(range(20), pick.randint(1, 7))]
+    rows += [(3, None), (4, None), (None, 5), (77, None), (90, None), *rows[:9]]
+    held = {}
+    for b, i in rows:
+        if b is not None:
+            held.setdefault(b, set()).add(i)
+    want = {(a, b) for a in held for b in held if a < b and (s := len((held[a] & held[b]) - {None})) and s / (len(held[a]) + len(held[b]) - s) >= least}
+    found = [tuple(r) for r in linkage.similar(spark.createDataFrame(rows, "bag long, item long"), least, 3).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_postings_are_made_where_their_window_lies(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b{i % 7} b{i % 3} b{i % 3} Größe") for i in range(300)] + [(900, None), (901, "")], "id long, text string")
+    index = postings.build(docs, f"file://{tmp_path}/index", 16, fuzzy=False)
+    assert not (tmp_path / "index" / "near").exists()
+    for r in index.blocks.collect():
+        assert r["held"] == len(r["postings"]) and [p["id"] for p in r["postings"]] == sorted(p["id"] for p in r["postings"])
+    assert sum(r["held"] for r in index.blocks.where("word = 'a'").collect()) == 300
+    got = [(r["id"], r["score"]) for r in index.search(["b1", "grö"], 40).collect()]
+    assert got == [(r["id"], r["score"]) for r in search.bm25(docs, ["b1", "grö"], 40).collect()]
+    with pytest.raises(ValueError, match="deletions"):
+        index.search(["b1"], 40, fuzzy=True)
