@@ -9,7 +9,10 @@ band key are candidates. Candidates are sifted by their packed signatures
 collisions) and confirmed on the full sets of their texts.
 
 Only connectivity matters, so a bucket's members aren't all compared with each
-other. First each class is compared with the centre of one of its buckets.
+other. First each class is compared with one of the centres of its buckets, the one
+that its signature is closest to; then, in buckets with several components, each
+member outside the largest with the closest of the centres that these largest ones
+have there. So large groups are whole, or nearly, before pairs are looked at.
 Then the buckets whose members still belong to several components are laid out
 in tiles: members of all components but the bucket's largest along one side, all
 members along the other. A tile first compares packed signatures, and a pair
@@ -17,7 +20,8 @@ counts in the first bucket that it shares only; what comes out are the members
 that have a close one of another component in the tile. To these tiles the
 texts of such members go, and their full sets are compared. So no candidate pair
 between two components is left out, a task's rows and bytes are bounded by the
-tile, and pairs never leave it, but only links that join two components.
+tile, and pairs never leave it, but only links that join two components, and
+a task gives none between what it has joined before.
 
 At the similarity of the threshold, 0.8, a pair escapes all bands with a
 probability of (1 - 0.8 ** ROWS) ** BANDS, about 5e-6; the sieve lets pass what
@@ -51,6 +55,8 @@ ROWS, BANDS, BITS = 6, 40, 2
 SIZE = ROWS * BANDS
 #: Members along one side of a tile: from the least to the most, and texts' bytes, about.
 TILE_LEAST, TILE_MOST, TILE_BYTES = 128, 2000, 8 << 20
+#: Joined roots that a task keeps; beyond it starts anew, and may give a link again.
+FOREST = 1 << 20
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
@@ -159,16 +165,18 @@ def _texts(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return found.select("node", "cls", "text").mapInArrow(run, "node long, text string")
 
 
-def _sift(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (u, v) whose estimated similarity isn't too low."""
+def _nearest(pairs: DataFrame, sigs: DataFrame, least: float, safe: float) -> DataFrame:
+    """Of pairs (u, v) whose estimated similarity isn't too low, the one of each v with the most; from ``safe`` on, all count alike, and the smaller u is taken, so that chains stay short."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield b.select(["u", "v"]).filter(pa.array(similarity(b["su"].to_pylist(), b["sv"].to_pylist()) >= least))
+                near = similarity(b["su"].to_pylist(), b["sv"].to_pylist())
+                yield pa.RecordBatch.from_arrays([b["u"], b["v"], pa.array(near)], ["u", "v", "near"]).filter(pa.array(near >= least))
 
     both = pairs.join(sigs.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v")
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    found = both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long, near double")
+    return found.groupBy("v").agg(F.min_by("u", F.struct(-F.least("near", F.lit(safe)), "u")).alias("u")).select("u", "v")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -190,6 +198,17 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return right.join(left, ["u", "salt"]).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
+def _mixed(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """key, band, node, root, top, centre of members (key, band, node) of buckets with several roots: the root that most members have, and one of these members.
+
+    placed has (node, root). The centre is drawn by another order than that of the numbers, in which the first centres came."""
+    held = materialise(members.join(placed, "node"), "rooted")
+    own = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("centre"))
+    whole = own.groupBy("key").agg(F.sum("n").alias("size"), F.max_by(F.struct("root", "centre"), F.struct("n", "root")).alias("of"), F.min("root").alias("a"), F.max("root").alias("b"))
+    several = materialise(whole.where("a <> b").select("key", "size", F.col("of.root").alias("top"), F.col("of.centre").alias("centre")), "several")
+    return materialise(join_spread(held, several, "key", "size", held.count(), ["node"]).select("key", "band", "node", "root", "top", "centre"), "mixed")
+
+
 def _tiles(members: DataFrame, placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, p, q, side, band, node, root, sig, marks: the tiles of the buckets whose members have several roots.
 
@@ -216,7 +235,7 @@ def _close(tiles: DataFrame, percent: int) -> DataFrame:
     """key, p, q, side, node, root of the members of tiles that have a close one of another root there, by signature."""
     least = sieve_threshold(percent / 100)
 
-    def compare(group):
+    def compare(group, _):
         side, node, root = (group[c].to_numpy() for c in ("side", "node", "root"))
         sig, mark = (np.frombuffer(b"".join(group[c].to_pylist()), dtype=kind).reshape(group.num_rows, -1) for c, kind in (("sig", np.uint8), ("marks", np.uint32)))
         left, right = np.flatnonzero(side == 1), np.flatnonzero(side != 1)
@@ -235,7 +254,7 @@ def _close(tiles: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_tile(tiles: DataFrame, compare, kind: str) -> DataFrame:
-    """What compare, a function of a tile's table, gives for each tile. Most tiles are small, so a task runs through its tiles one after another."""
+    """What compare, a function of a tile's table and of what its task keeps of joined roots, gives for each tile. Most tiles are small, so a task runs through its tiles one after another."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -243,7 +262,9 @@ def _by_tile(tiles: DataFrame, compare, kind: str) -> DataFrame:
         def end():
             whole = pa.Table.from_batches(held)
             held.clear()
-            return compare(whole).combine_chunks().to_batches()
+            return compare(whole, least).combine_chunks().to_batches()
+
+        least: dict[int, int] = {}
 
         last = None
         for b in batches:
@@ -268,32 +289,39 @@ def _by_tile(tiles: DataFrame, compare, kind: str) -> DataFrame:
 def _link_tiles(close: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v), roots that belong together; close is what ``_close`` gives, texts has (node, text).
 
-    Roots that a tile joins all go with the least of them, so what tiles and buckets have found alike is one row."""
+    Roots that a tile joins all go with the least of them, so what tiles and buckets have found alike is one row; what a
+    task has joined is one root to its further tiles, so its rows are no more than the roots that it has, however many tiles join them."""
 
-    def compare(group):
-        node, root = group["node"].to_numpy(), group["root"].to_numpy()
+    def compare(group, least):
+        if len(least) > FOREST:
+            least.clear()
+        node = group["node"].to_numpy()
+        root = np.array([top_of(least, x) for x in group["root"].to_pylist()], dtype=np.int64)
         found = join_roots(group["side"].to_numpy(), node, root, shingle_sets(group["text"].to_pylist(), width), percent)
-        u, v = stars(dict(zip(node.tolist(), root.tolist(), strict=True)), *found)
+        u, v = stars(dict(zip(node.tolist(), root.tolist(), strict=True)), *found, least)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return _by_tile(close.join(texts, "node"), compare, "u long, v long")
 
 
-def stars(root: dict[int, int], u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
-    """The roots that links (u, v) join, each but the least with the least of all that are joined."""
-    least: dict[int, int] = {}
+def top_of(least: dict[int, int], x: int) -> int:
+    """The root that x has been joined to, or x."""
+    while (y := least.get(x, x)) != x:
+        least[x] = least.get(y, y)
+        x = y
+    return x
 
-    def top(x: int) -> int:
-        while (y := least.setdefault(x, x)) != x:
-            least[x] = least[y]
-            x = y
-        return x
 
+def stars(root: dict[int, int], u: list[int], v: list[int], least: dict[int, int] | None = None) -> tuple[list[int], list[int]]:
+    """The roots that links (u, v) join, each but the least with the least of all that are joined; ``least`` has what was joined before, and gets these."""
+    least = {} if least is None else least
+    ends = []
     for a, b in zip(u, v, strict=True):
-        low, high = sorted((top(root[a]), top(root[b])))
-        least[high] = low
-    ends = [x for x in least if top(x) != x]
-    return [top(x) for x in ends], ends
+        low, high = sorted((top_of(least, root[a]), top_of(least, root[b])))
+        if low != high:
+            least[high] = low
+            ends.append(high)
+    return [top_of(least, x) for x in ends], ends
 
 
 def join_roots(side: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
@@ -341,14 +369,20 @@ def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     texts = materialise(_texts(docs, nodes.select("node", "row", "cls"), width), "texts")
     least = sieve_threshold(percent / 100)
 
-    stars = members.where("node <> centre").groupBy(F.col("node").alias("v")).agg(F.min("centre").alias("u")).select("u", "v")
-    links = materialise(_confirm(_sift(stars, nodes, least), texts, width, percent), "links")
-    roots = components(links)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return materialise(_confirm(materialise(_nearest(pairs.distinct(), nodes, least, percent / 100 + (percent / 100 - least) / 2), "nearest"), texts, width, percent), "links")
 
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    tiles = _tiles(members.select("key", "band", "node"), rooted(nodes.select("node", "bytes")), nodes.select("node", "sig", "marks"))
+    links = confirmed(members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")))
+    roots = components(links)
+    mixed = _mixed(members.select("key", "band", "node"), rooted(nodes.select("node")))
+    further = confirmed(mixed.where("root <> top").select(F.col("centre").alias("u"), F.col("node").alias("v")))
+    if not further.isEmpty():
+        roots = components(links.union(further))
+
+    tiles = _tiles(mixed.select("key", "band", "node"), rooted(nodes.select("node", "bytes")), nodes.select("node", "sig", "marks"))
     close = materialise(_close(tiles, percent), "close")
     more = materialise(_link_tiles(close, texts, width, percent).distinct(), "more-links")
 

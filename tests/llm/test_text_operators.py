@@ -651,3 +651,28 @@ def test_tiles_that_join_the_same_roots_give_the_same_rows():
     want = {(1, 2), (1, 3), (1, 4), (8, 9)}
     for u, v in (([10, 11, 12, 20], [11, 12, 14, 21]), ([14, 13, 21, 14], [11, 12, 20, 10])):
         assert set(zip(*minhash.stars(root, u, v), strict=True)) == want
+
+
+def test_a_tile_gives_nothing_that_its_task_has_given():
+    root, held = {10: 1, 11: 2, 12: 3, 13: 4}, {}
+    assert set(zip(*minhash.stars(root, [10, 11], [11, 12], held), strict=True)) == {(1, 2), (1, 3)}
+    assert minhash.stars(root, [12, 10], [10, 11], held) == ([], [])
+    assert minhash.stars(root, [13], [12], held) == ([1], [4])
+
+
+def test_links_from_tiles_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Texts around one, many of them too far from each other to be linked, with ids in several orders: tiles give fewer rows than there are texts."""
+    monkeypatch.setattr(minhash, "TILE_LEAST", 4)
+    given, tiles = [], minhash._link_tiles
+    monkeypatch.setattr(minhash, "_link_tiles", lambda *a: given.append(_common.materialise(tiles(*a), "given")) or given[-1])
+    rng = np.random.default_rng(9)
+    for turn in range(2):
+        rows = []
+        for k in range(160):
+            copy = [f"w{i}" for i in range(100)]
+            for at in rng.choice(100, int(rng.integers(2, 9)), replace=False):
+                copy[at] = f"c{turn}_{k}_{at}"
+            rows.append((k, " ".join(copy)))
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.link(docs(spark, rows), 2).collect())
+        assert got == sorted(components_by_force(rows, 2))
+    assert max(g.count() for g in given) < 40
