@@ -357,3 +357,15 @@ def test_collation_broadcasts_no_table_of_pieces_or_places(spark):
     for df in (out, chains.stretches(places, ["source"])):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert [(r["pos"], r["verdict"]) for r in out.orderBy("pos").collect()] == [(1, "agree"), (2, "agree")]
+
+
+def test_distances_at_once_equal_those_one_by_one():
+    rng = np.random.default_rng(12)
+    pairs = []
+    for n in (1, 2, 61, 62, 63, 64, 123, 124, 125, 248, 249, 300):
+        for m in (0, 1, 7, n, 2 * n, 8 * n + 65):
+            a, b = (rng.integers(97, 101, k).astype(np.uint32) for k in (n, m))
+            near = np.delete(np.concatenate([b[: m // 2], a, b[m // 2 :]]), np.arange(m // 2, m // 2 + n, 9))
+            pairs += [(locating.Pattern(a), b), (locating.Pattern(a), near)]
+    assert locating.distances(pairs).tolist() == [p.distance(t) for p, t in pairs]
+    assert len(locating.distances([])) == 0
