@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction.
 
 A page becomes a tree of block elements, in which runs of siblings of the same
-shape count as one node. For each host, the trees of a bounded sample of
-distinct pages are aligned by simple tree matching and merged into a wrapper. A
-node that says the same on ``TEMPLATE_PAGES`` sampled pages or more, and never
-anything else, is template; the others are varying slots. The wrapper names the
-content: its article or main elements, if they hold a fair share of what varies
+shape count as one node. For each host, the trees of all its pages are aligned
+by simple tree matching and merged into a wrapper, whose nodes are slots. All
+distinct pages of the host are then counted at the slots they fall to: a slot
+on ``TEMPLATE_PAGES`` pages or more that says the same on ``TEMPLATE_SHARE`` of
+them or more is template; the others vary. The wrapper names the content: its
+article or main elements, if they hold a fair share of what varies
 (``NAMED_SHARE``; an article that is the same everywhere is none), else the
 innermost node with most of the varying text. Each page's tree is then aligned
 with its host's wrapper, and what falls to the content is kept, but for
@@ -13,12 +14,13 @@ with its host's wrapper, and what falls to the content is kept, but for
 * elements that are menus, headers, footers, sidebars, notices, adverts, forms,
   scripts, styles or reader comments by their tag, role, class or id;
 * boxes (``div`` and ``section``) that are template, and template of any kind
-  whose class might be a mark of boilerplate, such as ``ad-hoc`` or ``side-effects``.
-  Where such a class stands on a varying slot, it marks nothing.
+  whose class might be a mark of boilerplate, such as ``ad-hoc`` or ``side-effects``,
+  on pages where they say what the template says. Where such a class stands on a
+  varying slot, it marks nothing.
 
 Headings, paragraphs, lists, tables and quotations of the content stay, even
 where all pages share them: the article is wanted whole. If most of the content
-is the same on the sampled pages, they are copies of each other, and no box is
+is the same on the host's pages, they are copies of each other, and no box is
 dropped for it.
 
 Children are matched by dynamic programming over those with equal labels; where
@@ -26,10 +28,16 @@ two lists of children differ by more than ``MATCH_CELLS`` pairs, equal subtrees
 are matched first, and what is between them in order. All walks are loops, so
 pages may be of any depth.
 
-Only the sampling is bounded (``SAMPLE`` pages of a host, chosen by hash); all
-pages are extracted whole. Wrappers are broadcast if their measured size is
-under ``BROADCAST_BYTES``; else they are joined by host, and large hosts are dealt
-out.
+A box goes by its classes and ids if one in twenty of the host's pages
+(``LABEL_SHARE``) has a box with the same, else by its tag alone, and so do
+elements that HTML doesn't know; so a host of very many pages has few labels,
+and its wrapper doesn't grow with names that each page has for itself.
+
+Nothing is sampled. A host's distinct trees are merged ``FAN`` or so at a time, in
+rounds, and what its pages say is counted by slot and text as rows, so no task
+holds all pages or trees of a host, but only its wrapper. The result doesn't depend on how rows lie: trees are dealt out and put in order
+by their hash. Wrappers are broadcast if their measured size is under
+``BROADCAST_BYTES``; else they are joined by host, and large hosts are dealt out.
 
 Defined cases: a null or blank html has an empty text; a null url belongs to the
 host ''; pages without a wrapper or which don't fit theirs are taken by the same
@@ -43,19 +51,22 @@ import html as references
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm._common import arrow_batches, join_spread, materialise, ship
 
-SAMPLE = 6
-#: Pages on which a text must be the same to be template.
-TEMPLATE_PAGES = 3
+#: About how many trees of a host are merged in one group.
+FAN = 64
+#: Pages that a slot needs to be template, and the part of them on which it says the same.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.9
+#: Part of a host's pages that must have a label for it to be told from others of its element.
+LABEL_SHARE = 0.05
 BROADCAST_BYTES = 32 << 20
 #: Part of the varying text that named elements need, and that an inner node needs to be gone into.
 NAMED_SHARE, INNER_SHARE = 0.2, 0.8
@@ -82,6 +93,7 @@ LAYOUT_WORDS = set("area bar block bottom box col column container first global
 # Words that say that a page has or lacks something, which is elsewhere.
 STATE_WORDS = set("has with no without is not".split())
 BOXES = {"div", "section"}
+KNOWN = VOID | RAW | INLINE | CLOSES_P | BOILER_TAGS | {*SIBLINGS} | set("audio canvas caption colgroup html legend map meter optgroup output picture progress ruby search slot summary video".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^<]*\Z""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I | re.S)
@@ -247,35 +259,23 @@ class Shape:
 
 
 class Slot:
-    """A node of a wrapper: the hash of its own text if that is the same on all its pages, and how much text it has in all."""
+    """A node of a wrapper: the hash of its own text if (nearly) all its pages have the same, how much text they have in all, and their number."""
 
     __slots__ = ("label", "tag", "boiler", "weak", "children", "key", "size", "text", "chars", "pages")
 
-    def __init__(self, label: str, tag: str, boiler: bool, weak: bool, text: int | None, chars: int, pages: int):
+    def __init__(self, label: str, tag: str, boiler: bool, weak: bool, text: int | None = None, chars: int = 0, pages: int = 0):
         self.label, self.tag, self.boiler, self.weak, self.text, self.chars, self.pages = label, tag, boiler, weak, text, chars, pages
         self.children: list[Slot] = []
         self.key, self.size = None, 1
 
-    @classmethod
-    def of(cls, shape: Shape) -> Slot:
-        root = cls._one(shape)
-        todo = [(root, shape)]
-        while todo:
-            slot, s = todo.pop()
-            slot.children = [cls._one(c) for c in s.children]
-            todo += zip(slot.children, s.children, strict=True)
-        return root
-
-    @classmethod
-    def _one(cls, s: Shape) -> Slot:
-        return cls(s.label, s.tag, s.boiler, s.weak, _digest(s.text()), len(s.text()), 1)
+    def count(self, pages: int, chars: int, most: int, text: int) -> None:
+        """Sets what its pages have; ``most`` of them have the same text."""
+        self.pages, self.chars = pages, chars
+        self.text = text if most >= TEMPLATE_SHARE * pages else None
 
     def number(self, keys: dict) -> Slot:
         """Sets keys and sizes, by the same numbers as shapes have."""
-        for s in reversed(_preorder(self)):
-            s.size = 1 + sum(c.size for c in s.children)
-            s.key = keys.setdefault((s.label, tuple(c.key for c in s.children)), len(keys))
-        return self
+        return _number(self, keys)
 
     def dump(self) -> list:
         return [[s.label, s.tag, s.boiler, s.weak, s.text, s.chars, s.pages, len(s.children)] for s in _preorder(self)]
@@ -295,6 +295,52 @@ class Slot:
         return root
 
 
+class Keys:
+    """Numbers of shapes: those of a wrapper, which stay as they are, and a page's own."""
+
+    def __init__(self, held: dict):
+        self.held, self.own = held, {}
+
+    def __len__(self) -> int:
+        return len(self.held) + len(self.own)
+
+    def setdefault(self, shape: tuple, number: int) -> int:
+        found = self.held.get(shape)
+        return self.own.setdefault(shape, number) if found is None else found
+
+
+def _number(root, keys):
+    for s in reversed(_preorder(root)):
+        s.size = 1 + sum(c.size for c in s.children)
+        s.key = keys.setdefault((s.label, tuple(c.key for c in s.children)), len(keys))
+    return root
+
+
+def _plain(s) -> str:
+    """The label of a node if its own is rare."""
+    if s.tag in BOXES:
+        return s.label if s.label.split(" ")[1:] in ([], ["main"]) else f"{s.tag}{'!' * s.boiler}"
+    return s.label if s.tag in KNOWN else f"*{'!' * s.boiler}"
+
+
+def _special(root) -> set[str]:
+    """The labels of a tree that may be rare."""
+    return {s.label for s in _preorder(root) if _plain(s) != s.label}
+
+
+def _relabel(root, labels):
+    """Gives nodes whose labels aren't among these their plain ones."""
+    for s in _preorder(root):
+        if s.label not in labels:
+            s.label = _plain(s)
+    return root
+
+
+def _tree(shape) -> list:
+    """A page's tree without its texts, as ``Slot.load`` reads it."""
+    return [[s.label, s.tag, s.boiler, s.weak, len(s.children)] for s in _preorder(shape)]
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
@@ -318,6 +364,9 @@ def _spans(x: list, y: list) -> list[tuple[list[int], list[int]]]:
         end += 1
     out = [([k], [k]) for k in range(first)]
     a, b = [*range(first, len(x) - end)], [*range(first, len(y) - end)]
+    # A child whose label the other side lacks aligns with none.
+    shared = {x[i].label for i in a} & {y[j].label for j in b}
+    a, b = [i for i in a if x[i].label in shared], [j for j in b if y[j].label in shared]
     if len(a) * len(b) <= MATCH_CELLS:
         out.append((a, b))
     else:
@@ -326,14 +375,15 @@ def _spans(x: list, y: list) -> list[tuple[list[int], list[int]]]:
         anchors = _rising([(i, once_b[k]) for k, i in once_a.items() if k in once_b])
         i, j = first, first
         for p, q in [*anchors, (len(x) - end, len(y) - end)]:
-            gap = ([*range(i, p)], [*range(j, q)])
+            gap = (a[bisect_left(a, i) : bisect_left(a, p)], b[bisect_left(b, j) : bisect_left(b, q)])
             if len(gap[0]) * len(gap[1]) <= MATCH_CELLS:
                 out.append(gap)
             else:
+                m = 0
                 for k in gap[0]:
-                    if j < q and y[j].label == x[k].label:
-                        out.append(([k], [j]))
-                        j += 1
+                    if m < len(gap[1]) and y[gap[1][m]].label == x[k].label:
+                        out.append(([k], [gap[1][m]]))
+                        m += 1
             if p < len(x) - end:
                 out.append(([p], [q]))
             i, j = p + 1, q + 1
@@ -363,41 +413,46 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def tree_match(a, b, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the most nodes of two numbered trees that align in order, and the aligned children."""
+    """Simple tree matching: the most nodes of two numbered trees that align in order, and the aligned children.
+
+    ``memo`` holds this by the numbers of both shapes."""
     todo = [(a, b)]
     while todo:
         x, y = todo[-1]
-        if (id(x), id(y)) in memo:
+        if (x.key, y.key) in memo:
             todo.pop()
         elif x.label != y.label:
-            memo[id(x), id(y)] = (0, [])
+            memo[x.key, y.key] = (0, [])
         elif x.key == y.key:
-            memo[id(x), id(y)] = (x.size, [(k, k) for k in range(len(x.children))])
+            memo[x.key, y.key] = (x.size, [(k, k) for k in range(len(x.children))])
         else:
             spans = _spans(x.children, y.children)
-            need = [(p, q) for i, j in spans for k in i for m in j if (p := x.children[k]).label == (q := y.children[m]).label and (id(p), id(q)) not in memo]
+            kinds = [({(c := x.children[k]).key: c for k in i}.values(), {(c := y.children[k]).key: c for k in j}.values()) for i, j in spans]
+            need = [(p, q) for i, j in kinds for p in i for q in j if p.label == q.label and (p.key, q.key) not in memo]
             if need:
                 todo += need
             else:
                 pairs = [pair for i, j in spans for pair in _align(x.children, y.children, i, j, memo)]
-                memo[id(x), id(y)] = (1 + sum(memo[id(x.children[i]), id(y.children[j])][0] for i, j in pairs), pairs)
-    return memo[id(a), id(b)]
+                memo[x.key, y.key] = (1 + sum(memo[x.children[i].key, y.children[j].key][0] for i, j in pairs), pairs)
+    return memo[a.key, b.key]
 
 
 def _align(x: list, y: list, rows: list[int], cols: list[int], memo: dict) -> list[tuple[int, int]]:
     """Pairs of children of a stretch that align in order with the most nodes."""
-    weight = lambda i, j: memo[id(x[rows[i]]), id(y[cols[j]])][0] if x[rows[i]].label == y[cols[j]].label else 0
+    weights: dict[int, list[int]] = {}
+    for p in (x[i] for i in rows):
+        if p.key not in weights:
+            weights[p.key] = [memo[p.key, y[j].key][0] if p.label == y[j].label else 0 for j in cols]
     if len(rows) == 1 and len(cols) == 1:
-        return [(rows[0], cols[0])] if weight(0, 0) else []
+        return [(rows[0], cols[0])] if weights[x[rows[0]].key][0] else []
     best = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
     for i in range(len(rows)):
-        above, here = best[i], best[i + 1]
-        for j in range(len(cols)):
-            w = weight(i, j)
-            here[j + 1] = max(above[j + 1], here[j], above[j] + w) if w else max(above[j + 1], here[j])
+        above, here, held = best[i], best[i + 1], 0
+        for j, w in enumerate(weights[x[rows[i]].key]):
+            held = here[j + 1] = max(above[j + 1], held, above[j] + w) if w else max(above[j + 1], held)
     pairs, i, j = [], len(rows), len(cols)
     while i and j:
-        w = weight(i - 1, j - 1)
+        w = weights[x[rows[i - 1]].key][j - 1]
         if w and best[i][j] == best[i - 1][j - 1] + w:
             pairs.append((rows[i - 1], cols[j - 1]))
             i, j = i - 1, j - 1
@@ -408,37 +463,74 @@ def _align(x: list, y: list, rows: list[int], cols: list[int], memo: dict) -> li
     return pairs[::-1]
 
 
-def _merge(wrapper: Slot, page: Shape) -> None:
+def _merge(wrapper: Slot, other: Slot) -> None:
+    """Puts into a wrapper what another one has beside it; both are numbered."""
     memo: dict = {}
-    tree_match(wrapper, page, memo)
-    todo = [(wrapper, page)]
+    todo = [(wrapper, other)]
     while todo:
-        slot, shape = todo.pop()
-        if _digest(shape.text()) != slot.text:
-            slot.text = None
-        slot.chars += len(shape.text())
-        slot.pages += 1
-        pairs = tree_match(slot, shape, memo)[1]
+        slot, its = todo.pop()
+        pairs = tree_match(slot, its, memo)[1]
         children, i, j = [], 0, 0
-        for a, b in [*pairs, (len(slot.children), len(shape.children))]:
+        for a, b in [*pairs, (len(slot.children), len(its.children))]:
             children += slot.children[i:a]
-            children += [Slot.of(c) for c in shape.children[j:b]]
-            if a < len(slot.children) and b < len(shape.children):
-                todo.append((slot.children[a], shape.children[b]))
+            children += its.children[j:b]
+            if a < len(slot.children) and b < len(its.children):
+                todo.append((slot.children[a], its.children[b]))
                 children.append(slot.children[a])
             i, j = a + 1, b + 1
         slot.children = children
 
 
-def induce(pages: list[str]) -> Slot:
-    """The wrapper of distinct pages of one host."""
+def merged(trees: list[list]) -> Slot:
+    """One wrapper of stored trees."""
     keys: dict = {}
-    wrapper = Slot.of(Shape.of(parse(pages[0]), keys))
-    for p in pages[1:]:
-        _merge(wrapper.number(keys), Shape.of(parse(p), keys))
+    wrapper, *others = [Slot.load(t) for t in trees]
+    for t in others:
+        _merge(wrapper.number(keys), t.number(keys))
     return wrapper
 
 
+class Places:
+    """A host's merged tree, ready to say to which of its slots the nodes of a page's tree fall."""
+
+    def __init__(self, root: Slot):
+        self.keys: dict = {}
+        self.root = root.number(self.keys)
+        self.slots = _preorder(root)
+        self.place = {id(s): k for k, s in enumerate(self.slots)}
+
+    def of(self, tree: list) -> list[int]:
+        """By node in preorder the place of its slot in preorder, or -1 if it has none."""
+        page = Slot.load(tree).number(Keys(self.keys))
+        found: dict[int, int] = {}
+        memo: dict = {}
+        todo = [(self.root, page)]
+        while todo:
+            slot, s = todo.pop()
+            found[id(s)] = self.place[id(slot)]
+            todo += [(slot.children[i], s.children[j]) for i, j in tree_match(slot, s, memo)[1]]
+        return [found.get(id(s), -1) for s in _preorder(page)]
+
+
+def induce(pages: list[str]) -> Slot:
+    """The wrapper of distinct pages of one host, by the steps of ``wrappers`` in one process."""
+    shapes = [Shape.of(parse(p), {}) for p in pages]
+    having = Counter(label for s in shapes for label in _special(s))
+    for s in shapes:
+        _relabel(s, {label for label, n in having.items() if n >= LABEL_SHARE * len(pages)})
+    places = Places(merged([_tree(s) for s in shapes]))
+    said: dict[int, list[str]] = defaultdict(list)
+    for s in shapes:
+        for k, node in zip(places.of(_tree(s)), _preorder(s), strict=True):
+            if k >= 0:
+                said[k].append(node.text())
+    for k, texts in said.items():
+        counts = Counter(map(_digest, texts))
+        most, text = max((n, t) for t, n in counts.items())
+        places.slots[k].count(len(texts), sum(map(len, texts)), most, text)
+    return places.root
+
+
 def _template(slot: Slot) -> bool:
     return slot.text is not None and slot.pages >= TEMPLATE_PAGES
 
@@ -466,8 +558,8 @@ def _named(root, names: set[str]) -> list:
 
 
 def content_of(root) -> list:
-    """The nodes that hold the content of a page's tree or of a wrapper, where only what varies counts."""
-    own = (lambda s: 0 if _template(s) else s.chars / s.pages) if isinstance(root, Slot) else (lambda s: len(s.text()))
+    """The nodes that hold the content of a page's tree or of a wrapper, where only what varies counts, over all pages."""
+    own = (lambda s: 0 if _template(s) else s.chars) if isinstance(root, Slot) else (lambda s: len(s.text()))
     amount = _amounts(root, own)
     total = amount[id(root)]
     for names in ({"article"}, {"main"}):
@@ -486,7 +578,9 @@ class Wrapper:
     """A host's wrapper, ready for pages: its content, and what in it is template."""
 
     def __init__(self, root: Slot):
-        self.root = root
+        self.keys: dict = {}
+        self.root = root.number(self.keys)
+        self.labels = {s.label for s in _preorder(root)}
         self.wanted = {id(s) for s in content_of(root)}
         self.template: set[int] = set()
         for content in (s for s in _preorder(root) if id(s) in self.wanted):
@@ -494,8 +588,8 @@ class Wrapper:
             fixed: dict[int, bool] = {}
             for s in reversed(order):
                 fixed[id(s)] = _template(s) and all(fixed[id(c)] or c.boiler for c in s.children)
-            varying = sum(s.chars / s.pages for s in order if not _template(s))
-            if varying < sum(s.chars / s.pages for s in order if _template(s)):
+            varying = sum(s.chars for s in order if not _template(s))
+            if varying < sum(s.chars for s in order if _template(s)):
                 continue  # copies of each other
             self.template |= {id(s) for s in order if s is not content and fixed[id(s)] and (s.tag in BOXES or s.weak)}
 
@@ -504,14 +598,14 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    keys: dict = {}
-    shape = Shape.of(parse(page), keys)
+    shape = Shape.of(parse(page), {})
     roots: list[Shape] = []
     template: set[int] = set()
     if wrapper is not None:
+        _number(_relabel(shape, wrapper.labels), Keys(wrapper.keys))
         memo: dict = {}
         other: set[int] = set()
-        todo = [(wrapper.root.number(keys), shape)]
+        todo = [(wrapper.root, shape)]
         while todo:
             slot, s = todo.pop()
             if id(slot) in wrapper.wanted:
@@ -522,7 +616,7 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
                 template.update(id(n) for n in s.members)
             todo += [(slot.children[i], s.children[j]) for i, j in reversed(tree_match(slot, s, memo)[1])]
         if roots and all(r.tag == "article" for r in roots):
-            # An article that no page of the sample has is content like those that it has.
+            # An article that falls to no slot is content like those that do.
             aligned = {id(r) for r in roots}
             roots = [s for s in _named(shape, {"article"}) if id(s) in aligned or id(s) not in other]
     text = _text_of(roots, template)
@@ -539,32 +633,123 @@ def _loaded(text: str) -> Wrapper:
     return Wrapper(Slot.load(json.loads(text)))
 
 
+@lru_cache(maxsize=256)
+def _places_in(text: str) -> Places:
+    return Places(Slot.load(json.loads(text)))
+
+
 def _host(url):
     rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     return F.lower(F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*", 0))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host."""
+def _trees(pages: DataFrame) -> DataFrame:
+    """Of every page host, page (hash of the html), form (hash of host and tree), and by node in preorder texts (hashes) and chars.
 
-    def sample(batches):
-        best: dict[str, dict[int, str]] = {}
+    The form's tree and those of its labels that may be rare are given once in a batch."""
+
+    def run(batches):
         for b in batches:
+            rows, seen = [], set()
             for host, page in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
                 if page:
-                    held = best.setdefault(host, {})
-                    held[xxhash.xxh64_intdigest(page) >> 1] = page
-                    if len(held) > SAMPLE:
-                        del held[max(held)]
-        for host, held in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array([host] * len(held)), pa.array([*held], pa.int64()), pa.array([*held.values()])], ["host", "h", "html"])
+                    shape = Shape.of(parse(page), {})
+                    tree = json.dumps(_tree(shape))
+                    form = xxhash.xxh3_128_hexdigest(f"{host}\n{tree}")
+                    said = [s.text() for s in _preorder(shape)]
+                    own = (None, None) if form in seen else (tree, sorted(_special(shape)))
+                    rows.append((host, xxhash.xxh64_intdigest(page) >> 1, form, *own, [_digest(t) for t in said], [len(t) for t in said]))
+                    seen.add(form)
+            columns = [*zip(*rows, strict=True)] if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], [*kinds])
+
+    kinds = {"host": pa.string(), "page": pa.int64(), "form": pa.string(), "tree": pa.string(), "labels": pa.list_(pa.string()), "texts": pa.list_(pa.int64()), "chars": pa.list_(pa.int64())}
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, form string, tree string, labels array<string>, texts array<long>, chars array<long>")
+
+
+def _forms(read: DataFrame, distinct: DataFrame) -> DataFrame:
+    """form, host, count (its distinct pages) and tree of every form, with plain labels in place of rare ones."""
+    least = {"host": F.min("host"), "tree": F.min("tree"), "labels": F.min("labels")}
+    forms = read.where(F.col("tree").isNotNull()).groupBy("form").agg(*[c.alias(n) for n, c in least.items()])
+    forms = materialise(forms.join(distinct.groupBy("form").count(), "form"), "forms")
+    pages = forms.groupBy("host").agg(F.sum("count").alias("pages"))
+    having = forms.select("host", "count", F.explode("labels").alias("label")).groupBy("host", "label").agg(F.sum("count").alias("n"))
+    common = having.join(pages, "host").where(F.col("n") >= LABEL_SHARE * F.col("pages"))
+    # No label has a line break in it.
+    labels = materialise(common.groupBy("host").agg(F.array_join(F.collect_list("label"), "\n").alias("common")), "labels")
+
+    def plain(batches):
+        for b in batches:
+            trees = [json.dumps(_tree(_relabel(Slot.load(json.loads(t)), {*(c or "").split("\n")}))) for t, c in zip(b["tree"].to_pylist(), b["common"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["form"], b["host"], b["count"], pa.array(trees, pa.string())], ["form", "host", "count", "tree"])
+
+    told = _beside(forms.drop("labels"), labels, "common", ["form"]).select("form", "host", "count", "tree", "common")
+    return materialise(told.mapInArrow(plain, "form string, host string, count long, tree string"), "forms")
+
+
+def _beside(rows: DataFrame, trees: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """rows with what ``column`` of trees has for their host."""
+    size = trees.agg(F.sum(F.octet_length(column) + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(trees), "host", "left")
+    hosts = materialise(rows.groupBy("host").count().join(trees, "host", "left"), "hosts")
+    return join_spread(rows, hosts, "host", "count", hosts.agg(F.sum("count")).first()[0], by)
+
+
+def _merged(forms: DataFrame) -> DataFrame:
+    """host, tree of every host: all its forms in one, merged in rounds of groups that the trees' hash makes."""
 
     def build(group):
-        return pa.table({"host": group["host"][:1], "wrapper": [json.dumps(induce([p for _, p in sorted(zip(group["h"].to_pylist(), group["html"].to_pylist(), strict=True))]).dump())]})
+        trees = [json.loads(t) for _, t in sorted(zip(group["id"].to_pylist(), group["tree"].to_pylist(), strict=True))]
+        return pa.table({"host": group["host"][:1], "id": group["part"][:1], "left": group["parts"][:1], "tree": [json.dumps(merged(trees).dump())]})
 
-    few = pages.select("host", "html").mapInArrow(sample, "host string, h long, html string").dropDuplicates(["host", "h"])
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("host", "h", "html").groupBy("host").applyInArrow(build, "host string, wrapper string")
+    trees = materialise(forms.select("host", F.xxhash64("tree").alias("id"), "tree").dropDuplicates(["host", "tree"]), "distinct")
+    sizes = trees.groupBy("host").agg(F.count("*").alias("left"))
+    left = sizes.agg(F.max("left")).first()[0] or 0
+    trees = trees.join(sizes, "host")
+    while left:
+        parts = F.ceil(F.col("left") / FAN)
+        dealt = trees.select("host", "id", "tree", parts.alias("parts"), F.pmod("id", parts).alias("part"))
+        trees = dealt.groupBy("host", "part").applyInArrow(build, "host string, id long, left long, tree string")
+        left = 0 if left <= FAN else -(-left // FAN)
+    return trees.select("host", "tree")
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON) of every host, from all its distinct pages."""
+    read = materialise(_trees(pages), "trees")
+    distinct = read.drop("tree", "labels").dropDuplicates(["host", "page"])
+    forms = _forms(read, distinct)
+    trees = materialise(_merged(forms), "merged")
+
+    def place(batches):
+        for b in batches:
+            slots = [_places_in(t).of(json.loads(f)) for f, t in zip(b["tree"].to_pylist(), b["whole"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["form"], b["count"], pa.array(slots, pa.list_(pa.int64()))], ["form", "count", "slots"])
+
+    whole = trees.withColumnRenamed("tree", "whole")
+    placed = _beside(forms, whole, "whole", ["form"]).select("form", "count", "tree", "whole")
+    placed = materialise(placed.mapInArrow(place, "form string, count long, slots array<long>"), "slots")
+    total = placed.agg(F.sum("count")).first()[0] or 0
+    said = join_spread(distinct, placed, "form", "count", total, ["page"])
+    said = said.select("host", F.explode(F.arrays_zip("slots", "texts", "chars")).alias("at")).select("host", "at.*").where("slots >= 0")
+    texts = said.groupBy("host", "slots", "texts").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    top = F.max(F.struct("n", "texts")).alias("top")
+    slots = texts.groupBy("host", "slots").agg(F.sum("n").alias("pages"), F.sum("chars").alias("chars"), top)
+    counts = slots.groupBy("host").agg(F.collect_list(F.struct("slots", "pages", "chars", "top.n", "top.texts")).alias("counts"))
+
+    def fill(batches):
+        for b in batches:
+            made = []
+            for tree, rows in zip(b["tree"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                root = Slot.load(json.loads(tree))
+                order = _preorder(root)
+                for r in rows:
+                    order[r["slots"]].count(r["pages"], r["chars"], r["n"], r["texts"])
+                made.append(json.dumps(root.dump()))
+            yield pa.RecordBatch.from_arrays([b["host"], pa.array(made, pa.string())], ["host", "wrapper"])
+
+    return trees.join(counts, "host").select("host", "tree", "counts").mapInArrow(fill, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -573,13 +758,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     ship(spark)
     arrow_batches(spark)
     placed = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    made = materialise(wrappers(placed), "wrappers")
-    size = made.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        joined = placed.join(F.broadcast(made), "host", "left")
-    else:
-        hosts = materialise(placed.groupBy("host").count().join(made, "host", "left"), "hosts")
-        joined = join_spread(placed, hosts, "host", "count", hosts.agg(F.sum("count")).first()[0], ["page_id", "url"])
+    joined = _beside(placed, materialise(wrappers(placed), "wrappers"), "wrapper", ["page_id", "url"])
 
     def run(batches):
         for b in batches:

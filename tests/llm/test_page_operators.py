@@ -1,10 +1,12 @@
 """Operators on pages: defined results for odd rows, and brute force."""
 
 import hashlib
+import json
 import random
 from collections import Counter
 
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -211,3 +213,50 @@ def test_wrappers_joined_by_host(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(_common, "HOT_ROWS", 2)
     assert Counter(tuple(r) for r in html_extract.main_text(pages(spark, rows)).collect()) == want
+
+
+def split_by_hash(one, other, n):
+    """Pages by ``one`` with the n smallest hashes, and pages by ``other`` with larger ones."""
+    order = lambda page: xxhash.xxh64_intdigest(page) >> 1
+    few = sorted((one(i) for i in range(8 * n)), key=order)[:n]
+    return few, [p for i in range(8 * n) if order(p := other(i)) > order(few[-1])][: 3 * n]
+
+
+def test_all_pages_of_a_host_decide(spark):
+    page = '<div class="m">Site</div><article><h1>Head {i}</h1>{box}<p>Body of number {i}, quite long as bodies are.</p></article>'
+    made = lambda box: lambda i: page.format(i=i, box=box.format(i=i))
+    # Of one host the pages of the smallest hashes lack the box that others share, of the other only they have the same.
+    lacking, sharing = split_by_hash(made(""), made("<div>Pass it on</div>"), 10)
+    same, own = split_by_hash(made("<div>Part one</div>"), made("<div>Part of {i}</div>"), 10)
+    rows = [(i, f"http://{host}/", p) for i, (host, p) in enumerate([("a", p) for p in lacking + sharing] + [("b", p) for p in same + own])]
+    got = [r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, SCHEMA)).orderBy("page_id").collect()]
+    assert len(sharing) == len(own) == 30 and not any("Pass it on" in t for t in got[:40])
+    assert all("\nPart o" in t for t in got[40:]) and all("Head" in t and "Body" in t for t in got)
+
+
+def test_wrappers_count_every_page(spark, monkeypatch):
+    rng = random.Random(9)
+    inner = lambda i: "".join(rng.choice([f"<p>{i}", "<ul><li>x<li>y</ul>", f'<div class="own{"xyz"[i % 3] * (i + 1)}"><h2>{i}</h2></div>', "<div><p>z</div>"]) for _ in range(rng.randint(1, 9)))
+    htmls = [f"<div class='top'>Site</div><section>{inner(i)}</section>" for i in range(50)]
+    rows = [(f"h{i % 2}", p) for i, p in enumerate(htmls)] + [("h0", htmls[0]), ("h1", None)]
+    held = spark.createDataFrame(rows, "host string, html string")
+    monkeypatch.setattr(html_extract, "FAN", 3)
+    got = {r["host"]: r["wrapper"] for r in html_extract.wrappers(held.repartition(5)).collect()}
+    assert got == {r["host"]: r["wrapper"] for r in html_extract.wrappers(held.coalesce(1)).collect()}
+    for k in range(2):
+        slots = html_extract._preorder(html_extract.Slot.load(json.loads(got[f"h{k}"])))
+        shapes = [html_extract._preorder(html_extract.Shape.of(html_extract.parse(p), {})) for p in htmls[k::2]]
+        assert slots[0].pages == 25 and sum(s.pages for s in slots) == sum(map(len, shapes))
+        assert sum(s.chars for s in slots) == sum(len(s.text()) for nodes in shapes for s in nodes)
+    # By the same steps in one process; pages of one structure, as the order of merging is another.
+    alike = [PAGE.format(i=i) for i in range(7)]
+    (one,) = html_extract.wrappers(spark.createDataFrame([("h", p) for p in alike], "host string, html string")).collect()
+    assert json.loads(one["wrapper"]) == json.loads(json.dumps(html_extract.induce(alike).dump()))
+
+
+def test_names_of_single_pages_make_no_slots():
+    page = '<div id="top">Site</div><div class="post {name}"><h1>Head {i}</h1><div>Pass it on</div><p>Body of number {i}, quite long as bodies are.</p></div>'
+    named = [page.format(i=i, name="".join(chr(97 + int(d)) for d in str(i))) for i in range(60)]
+    wrapper = wrapper_of(named)
+    assert len(html_extract._preorder(wrapper.root)) == 6
+    assert {html_extract.extract(p, wrapper) for p in named} == {f"Head {i}\nBody of number {i}, quite long as bodies are." for i in range(60)}
