@@ -481,15 +481,6 @@ def _merge(wrapper: Slot, other: Slot) -> None:
         slot.children = children
 
 
-def merged(trees: list[list]) -> Slot:
-    """One wrapper of stored trees."""
-    keys: dict = {}
-    wrapper, *others = [Slot.load(t) for t in trees]
-    for t in others:
-        _merge(wrapper.number(keys), t.number(keys))
-    return wrapper
-
-
 class Places:
     """A host's merged tree, ready to say to which of its slots the nodes of a page's tree fall."""
 
@@ -512,6 +503,19 @@ class Places:
         return [found.get(id(s), -1) for s in _preorder(page)]
 
 
+def merged(trees: list[list]) -> Slot:
+    """One wrapper of stored trees, of slots to which their nodes fall."""
+    keys: dict = {}
+    wrapper, *others = [Slot.load(t) for t in trees]
+    for t in others:
+        _merge(wrapper.number(keys), t.number(keys))
+    places = Places(wrapper)
+    used = {id(places.slots[k]) for t in trees for k in places.of(t) if k >= 0}
+    for s in places.slots:
+        s.children = [c for c in s.children if id(c) in used]
+    return wrapper
+
+
 def induce(pages: list[str]) -> Slot:
     """The wrapper of distinct pages of one host, by the steps of ``wrappers`` in one process."""
     shapes = [Shape.of(parse(p), {}) for p in pages]
