@@ -369,3 +369,54 @@ def test_distances_at_once_equal_those_one_by_one():
             pairs += [(locating.Pattern(a), b), (locating.Pattern(a), near)]
     assert locating.distances(pairs).tolist() == [p.distance(t) for p, t in pairs]
     assert len(locating.distances([])) == 0
+
+
+def test_spans_of_many_windows_are_taken_together():
+    rng = random.Random(12)
+    needles, texts, least = [], [], []
+    for n in [1, 2, 7, 8, 63, 64, 65, 128, 129, 300, *(rng.randrange(1, 90) for _ in range(700))]:
+        signs = rng.choice(["ab", "abcdefghijé木"])
+        needle = "".join(rng.choice(signs) for _ in range(n))
+        inside = altered(rng, needle, rng.random() * 0.6) if rng.random() < 0.7 else ""
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(60))) + inside + "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+        needles.append(offsets.codes(needle))
+        texts.append(offsets.codes(text))
+        least.append(rng.choice([0.3, 0.5, 0.8]))
+    most = [int((1 / x - 1) * len(n)) for n, x in zip(needles, least, strict=True)]
+    got = locating.spans(needles, texts, most, least)
+    for n, t, m, x, g in zip(needles, texts, most, least, got, strict=True):
+        want = locating.Pattern(n).span(t, m)
+        assert g == (want if want and 1 - want[0] / max(len(n), want[2] - want[1]) >= x else None)
+    assert sum(g is not None for g in got) > 200
+    assert locating.spans([], [], [], []) == [] and locating.spans([offsets.codes("")], [offsets.codes("ab")], [0], [0.5]) == [None]
+
+
+def test_steps_without_wildcards_are_those_of_the_table():
+    rng = random.Random(13)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(70)))
+        b = altered(rng, a, 0.3) if rng.random() < 0.7 else "".join(rng.choice("abc") for _ in range(rng.randrange(70)))
+        x, y = offsets.codes(a), offsets.codes(b)
+        table, i, j, want = alignment.cost_table(x, y), len(a), len(b), []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                want.append((True, 1, 1))
+            elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
+                want.append((False, 1, 1))
+            else:
+                want.append((False, 1, 0) if i and table[i, j] == table[i - 1, j] + 1 else (False, 0, 1))
+            i, j = i - want[-1][1], j - want[-1][2]
+        assert alignment._walk_plain(x.tolist(), y.tolist()) == want[::-1]
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(14)
+    parts = [offsets.codes("".join(rng.choice("abcdef" + STRICT) for _ in range(rng.choice([0, 1, 5, 6, 7, 9, 10, 40, 100])))) for _ in range(300)]
+    counts, hashes, places = gapped.seeds(parts)
+    ends = np.cumsum(counts)
+    for p, a, z in zip(parts, ends - counts, ends, strict=True):
+        own = locating.run_hashes(p, gapped.RUN)
+        near = min(gapped.NEIGHBOURS, len(own))
+        want = sorted({i + int(own[i : i + near].argmin()) for i in range(len(own) - near + 1)} if near else [])
+        want = [i for i in want if ord(STRICT) not in p[i : i + gapped.RUN]]
+        assert places[a:z].tolist() == want and hashes[a:z].tolist() == own[want].view(np.int64).tolist()
